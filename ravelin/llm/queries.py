@@ -4,21 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import decontam, sharding, simhash
+from ravelin.llm import decontam, packing, sharding, simhash, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = tiff.read_pages(tiff.store_texts(_table(spark, sf_dir, "documents")))
+    size, feature = F.length("samples").cast("long"), F.format_string("%dx%d/c%d/p%d/b%d", "width", "height", "compression", "predictor", "blocks")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        size.alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, length(samples) - 63, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = _table(spark, sf_dir, "documents").select("doc_id", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))

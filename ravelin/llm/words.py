@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
+#: Longer words are hashed one by one.
+_LONG = 512
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -67,7 +70,10 @@ class Words:
         up, down = powers(len(self.data))
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        out = mix((total[self.end] - total[self.start]) * down[self.start])
+        for i in np.flatnonzero(self.end - self.start > _LONG).tolist():  # where sums of powers could be made to collide
+            out[i] = xxhash.xxh64_intdigest(self.data[self.start[i] : self.end[i]].tobytes())
+        return out
 
 
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
