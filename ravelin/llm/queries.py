@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import decontam, packing, sharding, simhash, tiff
+from ravelin.llm import decontam, packing, sharding, simhash, tiff, warc
+from ravelin.scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = new_path(spark, "warc")
+    warc.archive_pages(_table(spark, sf_dir, "pages"), path)
+    read = lambda payload: spark.read.format(warc.FORMAT).option("payload", payload).load(path)
+    page = lambda c: F.expr(f"try_cast(substring({c}, {len('urn:page:') + 1}) as bigint)")
+    full = read("true").where(F.col("record_type") == "response").select("record_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    again = read("false").where(F.col("record_type") == "revisit").select("record_id", "record_type", "refers_to", F.col("http_length").alias("payload_bytes"), "payload_digest")
+    both = full.unionByName(again)
+    return both.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -69,6 +82,12 @@ _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNO
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": """
+with p as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
+m as (select payload_digest, payload_bytes, max(page_id) kept from p where payload_bytes >= 1000 group by all)
+select page_id, payload_bytes::bigint payload_bytes, payload_digest,
+       case when kept <> page_id then 'revisit' else 'response' end record_type, case when kept <> page_id then kept end refers_to
+from p left join m using (payload_digest, payload_bytes)""",
         "op8_decontamination": f"""
 with d as (select doc_id, {_WORDS_SQL} w from documents),
 b as (select item_id, {_WORDS_SQL} w from benchmark),

@@ -51,6 +51,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
         self.data, self.offsets = data, offsets
+        self._total = self._down = None
         n = len(data)
         inside = np.zeros(n + 1, bool)
         inside[:n] = word[data]
@@ -63,13 +64,27 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
+    def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``length`` bytes of the words that have more, and the text each is of. They differ from the hashes of whole words."""
+        at = np.flatnonzero(self.end - self.start > length)
+        if not len(at):
+            return np.zeros(0, np.uint64), self.doc[at]
+        total, down = self._sums()
+        start = self.start[at]
+        return mix((total[start + length] - total[start]) * down[start] + np.uint64(length)), self.doc[at]
+
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._total is None:
+            up, self._down = powers(len(self.data))
+            self._total = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=self._total[1:])
+        return self._total, self._down
+
     def hashes(self) -> np.ndarray:
         """Equal words have equal hashes; different ones almost always have different hashes, so callers that must be exact compare the bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        up, down = powers(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+        total, down = self._sums()
         out = mix((total[self.end] - total[self.start]) * down[self.start])
         for i in np.flatnonzero(self.end - self.start > _LONG).tolist():  # where sums of powers could be made to collide
             out[i] = xxhash.xxh64_intdigest(self.data[self.start[i] : self.end[i]].tobytes())
