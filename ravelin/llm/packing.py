@@ -25,13 +25,14 @@ class Encoder:
     """Token ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False)``.
 
     For tokenizers that drop white space and never join text across it (``spaceless``), white-space runs cut the text into chunks, each distinct
-    chunk is encoded once, and its ids are reused; ``most`` bounds how many are kept. Other tokenizers encode each text whole.
+    chunk is encoded once, and its ids are reused; ``most`` bounds how many are kept, the latest ones. Other tokenizers encode each text whole.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000, spaceless: bool = True):
+    def __init__(self, tokenizer_json: str, most: int = 800_000, spaceless: bool = True):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.most, self.spaceless = most, spaceless
         self.kept: dict[bytes, bytes] = {}
+        self.aged: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -55,21 +56,32 @@ class Encoder:
             self.kept[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        split = []
-        for c in chunks:
-            if b"<|" in c:  # might be a special token, which is taken as it is written
-                split.append((c, b""))
-            else:
+        """Ids of distinct chunks. A chunk's closing punctuation and its case in A-Z are taken off first, as neither changes the rest's ids."""
+        if 2 * len(self.kept) > self.most:
+            self.aged, self.kept = self.kept, {}
+        kept, aged = self.kept, self.aged
+        out = [kept.get(c) for c in chunks]
+        split, new = [], set()
+        for i, c in enumerate(chunks):
+            if out[i] is not None:
+                continue
+            core, tail = c, b""
+            if b"<|" not in c:  # else it might be a special token, which is taken as it is written
                 low = c.lower()
-                core = low.rstrip(_ENDINGS)
-                split.append((core, low[len(core) :]) if core else (low, b""))
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        new = {x for pair in split for x in pair} - self.kept.keys() - {b""}
-        self.kept[b""] = b""
+                core = low.rstrip(_ENDINGS) or low
+                tail = low[len(core) :]
+            split.append((i, core, tail))
+            for x in (core, tail):
+                if x and x not in kept:
+                    if x in aged:
+                        kept[x] = aged[x]
+                    else:
+                        new.add(x)
         if new:
-            self._learn(sorted(new))
-        return [self.kept[a] + self.kept[b] for a, b in split]
+            self._learn(list(new))
+        for i, core, tail in split:
+            out[i] = kept[core] + kept[tail] if tail else kept[core]
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -148,7 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, spaceless)
         for b in batches:
-            for at, data, offsets in slices(b.column(1)):
+            for at, data, offsets in slices(b.column(1), 4 << 20):
                 rows, start, length, total, crc, raw = [], [], [], [], [], []
                 for i, body in enumerate(encoder.encode(data, offsets), at):
                     body += tail
