@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.words import ALNUM, LOWER, Words, mix, slices
+from ravelin.llm.words import ALNUM, LOWER, Words, mix, slices, small_batches
 from ravelin.scratch import materialize
 
 _GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -196,7 +196,7 @@ def _pass(docs: DataFrame, text: str, shared, first: bool) -> DataFrame:
     def run(batches):
         index = pickle.loads(shared.value)
         for b in batches:
-            texts = b.column(b.schema.get_field_index("_bytes"))
+            texts = b.column(b.schema.get_field_index(text))
             counts, hits, items = [], [], []
             for n, spans, found in index.search(texts):
                 counts.append(n)
@@ -212,7 +212,8 @@ def _pass(docs: DataFrame, text: str, shared, first: bool) -> DataFrame:
             arrays = [b.column(b.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(ends, structs), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=schema.names)
 
-    return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

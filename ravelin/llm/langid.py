@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.llm.features import binary, sigmoid
-from ravelin.llm.words import LOWER, NOT_SPACE, Words, slices
+from ravelin.llm.words import LOWER, NOT_SPACE, Words, slices, small_batches
 
 WINDOW, EMBED, HIDDEN = 24, 12, 16
 #: Log-probabilities summed over positions are tempered by this much, as neighbouring positions say nearly the same.
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1) to ``docs``: the language with the highest pooled probability, or ``und`` with score 0 where a text is null or has no letter."""
     if clash := {"lang_pred", "score"} & set(docs.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    shared, place = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             has = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             best, top = np.zeros(len(has), np.int64), np.zeros(len(has))
-            for at, data, offsets in slices(b.column(b.num_columns - 2), 4 << 20):
+            for at, data, offsets in slices(b.column(place), 4 << 20):
                 padded, size, doc, window, count = windows_of(data, offsets)
                 each = net.pooled(padded, size)
                 n = len(offsets) - 1
@@ -221,6 +221,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 p = np.exp(total - total.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best[at : at + n], top[at : at + n] = p.argmax(1), p.max(1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(np.where(has, names[best], "und"), pa.string()), pa.array(np.where(has, top, 0.0))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.where(has, names[best], "und"), pa.string()), pa.array(np.where(has, top, 0.0))], names=schema.names)
 
-    return docs.withColumn("_bytes", F.col(text).cast("binary")).withColumn("_letter", F.coalesce(F.col(text).rlike(LETTER), F.lit(False))).mapInArrow(run, schema)
+    small_batches(docs.sparkSession, 4000)
+    return docs.withColumn("_letter", F.coalesce(F.col(text).rlike(LETTER), F.lit(False))).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ravelin.llm.words import NOT_SPACE, Words, slices
+from ravelin.llm.words import NOT_SPACE, Words, slices, small_batches
 
 _ENDINGS = b".,;:!?"
 
@@ -28,7 +28,7 @@ class Encoder:
     chunk is encoded once, and its ids are reused; ``most`` bounds how many are kept, the latest ones. Other tokenizers encode each text whole.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 800_000, spaceless: bool = True):
+    def __init__(self, tokenizer_json: str, most: int = 300_000, spaceless: bool = True):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.most, self.spaceless = most, spaceless
         self.kept: dict[bytes, bytes] = {}
@@ -160,7 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, spaceless)
         for b in batches:
-            for at, data, offsets in slices(b.column(1), 4 << 20):
+            for at, data, offsets in slices(b.column(1), 2 << 20):
                 rows, start, length, total, crc, raw = [], [], [], [], [], []
                 for i, body in enumerate(encoder.encode(data, offsets), at):
                     body += tail
@@ -181,7 +181,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     columns = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, columns)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, columns)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.llm.features import binary, labelled_sample, logistic, predict, sigmoid, style
+from ravelin.llm.words import small_batches
 
 HIDDEN = 24
 
@@ -117,13 +118,14 @@ def score(docs: DataFrame, network: Network, text: str = "text", column: str = "
     """Add the probability (double) of good quality to ``docs``, from the whole text (null: empty)."""
     if column in docs.columns:
         raise ValueError(f"a column named {column} exists")
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(network))
+    shared, at = docs.sparkSession.sparkContext.broadcast(pickle.dumps(network)), docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         for b in batches:
-            p = model.probabilities(style(b.column(b.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], names=schema.names)
+            p = model.probabilities(style(b.column(at)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=schema.names)
 
-    return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.components import connected_components
-from ravelin.llm.words import LOWER, NOT_SPACE, Words, slices
+from ravelin.llm.words import LOWER, NOT_SPACE, Words, slices, small_batches
 from ravelin.scratch import materialize
 
 SEED, SHINGLE, RADIUS, BLOCKS, TILE = 42, 3, 2, 5, 1024
@@ -66,7 +66,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                     out.append(fingerprint(shingle_hashes(low[at:end], w.start[a:z] - at, w.end[a:z] - at)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "id bigint, fingerprint bigint")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, fingerprint bigint")
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.words import slices
+from ravelin.llm.words import slices, small_batches
 
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 #: TIFF 6.0 field types: size in bytes and struct code (fixed values)
@@ -345,6 +345,7 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
                     found.append((*[None] * 9, str(e)))
             yield lot()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -372,4 +373,5 @@ def store_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
                     media.append(text_page(data[a:z].tobytes().ljust(n, b"\0")))
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(sizes)) for i in range(len(keep))), pa.array(sizes), pa.array(media, pa.binary())], names=schema.names)
 
-    return df.select(*keep, F.col(text).cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.llm.features import Vocabulary, binary, labelled_sample, log_odds, logistic, predict, token_sets
+from ravelin.llm.words import small_batches
 
 CHAIN = ("abusive", "repeated", "toxic")
 
@@ -92,13 +93,14 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_")
     names = [prefix + c for c in chain.categories]
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain))
+    shared, at = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain)), docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         for b in batches:
-            p = model.probabilities(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(p[:, c]) for c in range(len(names)))], names=schema.names)
+            p = model.probabilities(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, c]) for c in range(len(names)))], names=schema.names)
 
-    return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
 #: Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -91,18 +92,23 @@ class Words:
         return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most ``rows`` rows, so that a batch of long texts does not fill an executor."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about ``most`` bytes (a longer text is a run of its own): the first row, the bytes, and the offsets in them. Nulls are empty."""
+    """Runs of whole texts (strings or binary, read in place) of about ``most`` bytes (a longer text is a run of its own): the first row, the bytes, and the offsets in them. Nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if not pa.types.is_large_binary(texts.type):
-        texts = texts.cast(pa.large_binary())
-    if texts.null_count:
-        texts = texts.fill_null(b"")
     n = len(texts)
     if not n:
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    if texts.null_count:
+        texts = texts.fill_null("" if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else b"")
+    wide = pa.types.is_large_binary(texts.type) or pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     buffer = texts.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
     at = 0
