@@ -7,6 +7,7 @@ marks, and what is left of other scripts is removed.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ _SIGNS = {0x3E: "A", 0x3F: "i", 0x40: "I", 0x41: "u", 0x42: "U", 0x43: "RRi", 0x
 _MARKS = {0x01: ".N", 0x02: "M", 0x03: "H", 0x3C: "", 0x64: "|", 0x65: "||"} | {0x66 + i: str(i) for i in range(10)}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def transliterate(text: Column) -> Column:
     """Indic scripts as ITRANS. The nine blocks share one layout, so all are moved onto the first; a consonant without a vowel sign sounds an ``a``."""
     offsets = range(0x80)
@@ -54,6 +60,10 @@ def fold(text: Column) -> Column:
     return F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(out, "[^\\x00-\\x7F]", "")).otherwise(text)
 
 
+def plain(text: Column) -> Column:
+    return let(let(text, transliterate), fold)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -70,7 +80,7 @@ def deconstruct_url(name: Column) -> Column:
 
 
 def name_blocking(name: Column) -> Column:
-    folded = fold(F.lower(transliterate(deconstruct_url(present(name)))))
+    folded = let(F.lower(let(let(present(name), deconstruct_url), transliterate)), fold)
     spaced = F.regexp_replace(F.replace(F.replace(folded, F.lit("&"), F.lit(" and ")), F.lit("-"), F.lit(" ")), "['\"]", "")
     return squeeze(F.regexp_replace(spaced, r"[^a-z0-9_\s]", " "))
 
@@ -96,9 +106,15 @@ def has_address(address: Column) -> Column:
 
 
 def addr_norm(address: Column) -> Column:
-    out = F.regexp_replace(fold(transliterate(F.trim(F.lower(present(address))))), C.LANDMARK, "")
+    out = F.regexp_replace(plain(F.trim(F.lower(present(address)))), C.LANDMARK, "")
+
+    def expand(short: str, long: str) -> Callable[[Column], Column]:
+        pattern = r"(?i)\b" + short.replace(".", r"\.") + r"\b"
+        # a plain search spares a text the abbreviations that it does not have
+        return lambda text: F.when(F.contains(F.lower(text), F.lit(short)), F.regexp_replace(text, pattern, long)).otherwise(text)
+
     for short, long in C.ADDRESS_WORDS.items():
-        out = F.regexp_replace(out, r"(?i)\b" + short.replace(".", r"\.") + r"\b", long)
+        out = let(out, expand(short, long))
     out = squeeze(F.regexp_replace(out, r"[^A-Za-z0-9_\s,]", " "))
     return F.when(has_address(address), out).otherwise("")
 

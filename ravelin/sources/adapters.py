@@ -10,11 +10,17 @@ def _split_sources(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("entity_id").startswith("S1-")), df.where(~F.col("entity_id").startswith("S1-"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores (one small file) is dealt to all of them; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each document: the first six words are the name and all others the address."""
     w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
     country = F.when(F.col("lang") == "en", "US").when(F.col("lang") == "fr", "France").when(F.col("lang") == "es", "India").otherwise(F.col("lang"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")).select(
         F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
         F.array_join(F.slice(w, 1, 6), " ").alias("business_name"),
         F.array_join(F.slice(w, 7, F.greatest(F.size(w), F.lit(1))), " ").alias("business_address"),
