@@ -15,13 +15,21 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def lowest(df: DataFrame, order: Column, most: int) -> DataFrame:
+    """The ``most`` rows with the lowest hashes. Where there are many more rows, hashes far above the share that is wanted go first, so that each partition sends few rows to be ordered."""
+    n = df.count()
+    if n > 4 * most:
+        df = df.where(order < int((2 * most / n - 0.5) * 2**64))
+    return df.orderBy(order, *df.columns).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, id_col: str = "doc_id", text: str = "text", seed: int = 0) -> list:
     """At most ``most`` rows (text, *columns) of documents that have a label, those whose ids hash lowest: every id is as likely, and the same come each time.
 
     Only the ids are ordered; the chosen labels, at most ``most`` rows, are broadcast to the scan of the documents.
     """
     order = F.xxhash64(F.lit(seed), F.col(id_col))
-    chosen = labels.where(F.col(id_col).isNotNull()).select(id_col, *columns).orderBy(order, *columns).limit(most)
+    chosen = lowest(labels.where(F.col(id_col).isNotNull()).select(id_col, *columns), order, most)
     rows = docs.select(id_col, F.col(text).cast("binary").alias("_bytes")).join(F.broadcast(chosen), id_col).orderBy(order, *columns).limit(most)
     return [(bytes(r["_bytes"] or b""), *(r[c] for c in columns)) for r in rows.collect()]
 
@@ -77,14 +85,24 @@ def token_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def log_odds(sets: list[np.ndarray], label: np.ndarray, least: int = 3, ratio: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Words in at least ``least`` texts, and how far their share among texts of label 1 stands out, in standard errors; with ``ratio``, only those at least so many times as frequent there."""
-    every, which = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
-    rows = np.repeat(label.astype(bool), [len(s) for s in sets])
-    n1, n0 = np.bincount(which[rows], minlength=len(every)), np.bincount(which[~rows], minlength=len(every))
+def keyness(sets: list[np.ndarray], label: np.ndarray, least: int = 3, ratio: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Words in at least ``least`` texts, and how far their share among texts of label 1 stands out (the signed root of the likelihood-ratio statistic); with ``ratio``, only those at least so many times as frequent there."""
+    def counted(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(some) if some else np.zeros(0, np.uint64), return_counts=True)
+
+    every, n = counted(sets)
+    among, n1_of = counted([s for s, y in zip(sets, label.tolist(), strict=True) if y])
+    n1 = np.zeros(len(every), np.int64)
+    n1[np.searchsorted(every, among)] = n1_of
+    n0 = n - n1
     t1, t0 = max(1, label.sum()), max(1, len(label) - label.sum())
-    gap = np.log((n1 + 0.5) / (t1 + 1)) - np.log((n0 + 0.5) / (t0 + 1))
-    score = gap / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+    total, has = t1 + t0, n1 + n0
+
+    def part(seen: np.ndarray, row: float, column: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) * total / (row * np.maximum(column, 1))), 0)
+
+    ratio_test = 2 * (part(n1, t1, has) + part(t1 - n1, t1, total - has) + part(n0, t0, has) + part(t0 - n0, t0, total - has))
+    score = np.sign(n1 / t1 - n0 / t0) * np.sqrt(np.maximum(ratio_test, 0))
     kept = (n1 + n0 >= least) & (n1 / t1 >= ratio * n0 / t0)
     return every[kept], score[kept]
 

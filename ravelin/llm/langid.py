@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.features import binary, sigmoid
+from ravelin.llm.features import binary, lowest, sigmoid
 from ravelin.llm.words import LOWER, NOT_SPACE, Words, slices, small_batches
 
 WINDOW, EMBED, HIDDEN = 24, 12, 16
@@ -196,7 +196,10 @@ def fit(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str =
 
     The bounds hold for training alone; prediction reads every text whole.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.substring(F.col(text).cast("binary"), 1, bytes_each).alias("raw"), lang, F.xxhash64(F.lit(0), id_col).alias("_h")).orderBy("_h", lang, "raw").limit(most).collect()
+    known = docs.where(F.col(lang).isNotNull()).select(id_col, lang, text)
+    share = lowest(known.select(id_col), F.xxhash64(F.lit(0), id_col), most)
+    rows = known.join(F.broadcast(share.distinct()), id_col).where(F.col(text).isNotNull())
+    rows = rows.select(F.xxhash64(F.lit(0), id_col).alias("_h"), lang, F.substring(F.col(text).cast("binary"), 1, bytes_each).alias("raw")).orderBy("_h", lang, "raw").limit(most).select("raw", lang).collect()
     return train([bytes(r[0]).rpartition(b" ")[0] or bytes(r[0]) for r in rows], [r[1] for r in rows])
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.features import Vocabulary, binary, labelled_sample, log_odds, logistic, predict, token_sets
+from ravelin.llm.features import Vocabulary, binary, labelled_sample, keyness, logistic, predict, token_sets
 from ravelin.llm.words import small_batches
 
 CHAIN = ("abusive", "repeated", "toxic")
@@ -42,15 +42,15 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(1 + counts), 3)
 
 
-def fit_chain(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], words: int = 256, folds: int = 5, ridge: float = 1.0) -> Chain:
+def fit_chain(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], words: int = 256, folds: int = 5, ridge: float = 1.0, sets: list[np.ndarray] | None = None) -> Chain:
     """Fit on rows of ``labels`` (texts by categories, 0 or 1).
 
     The vocabulary holds the words that stand out most for any category. With no rows, or one class only, the probabilities are near that class.
     """
-    sets = token_sets(binary(texts))
+    sets = token_sets(binary(texts)) if sets is None else sets
     best: dict[int, float] = {}
     for c in range(labels.shape[1]):
-        hashes, score = log_odds(sets, labels[:, c])
+        hashes, score = keyness(sets, labels[:, c])
         for i in np.argsort(-np.abs(score), kind="stable")[:words].tolist():
             best[int(hashes[i])] = max(best.get(int(hashes[i]), 0), abs(float(score[i])))
     chosen = sorted(best, key=lambda h: (-best[h], h))[:words]
@@ -69,9 +69,9 @@ def fit_chain(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...
     return Chain(categories, vocabulary, weights)
 
 
-def abuse_terms(texts: list[bytes], toxic: np.ndarray, most: int = 64, least: float = 4.0) -> Vocabulary:
-    """Tokens that stand out among toxic texts by ``least`` standard errors and are at least ten times as frequent there."""
-    hashes, score = log_odds(token_sets(binary(texts)), toxic, least=5, ratio=10)
+def abuse_terms(sets: list[np.ndarray], toxic: np.ndarray, most: int = 64, least: float = 4.0) -> Vocabulary:
+    """Tokens that stand out among toxic texts by ``least`` or more and are at least ten times as frequent there."""
+    hashes, score = keyness(sets, toxic, least=5, ratio=10)
     top = np.argsort(-score, kind="stable")[:most]
     return Vocabulary(hashes[top][score[top] >= least])
 
@@ -83,9 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """
     rows = labelled_sample(docs, labels.where(F.col(label).isNotNull()), [label], most, id_col, text)
     texts, toxic = [r[0] for r in rows], np.array([int(r[1] > 0) for r in rows], np.int64)
-    terms = abuse_terms(texts, toxic)
+    sets = token_sets(binary(texts))
+    terms = abuse_terms(sets, toxic)
     found = terms.counts(binary(texts)).sum(axis=1) if texts else np.zeros(0)
-    return fit_chain(texts, np.stack([found >= 1, found >= 3, toxic > 0], axis=1).astype(float) if texts else np.zeros((0, 3)), CHAIN)
+    return fit_chain(texts, np.stack([found >= 1, found >= 3, toxic > 0], axis=1).astype(float) if texts else np.zeros((0, 3)), CHAIN, sets=sets)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
