@@ -33,11 +33,21 @@ class Encoder:
         self.most, self.spaceless = most, spaceless
         self.kept: dict[bytes, bytes] = {}
         self.aged: dict[bytes, bytes] = {}
+        self.apart: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
 
+    def _stands_apart(self, last: str) -> bool:
+        """Whether the tokenizer takes punctuation after this character as a piece of its own; marks, signs and what is lower-cased to end in one run into it."""
+        if last not in self.apart:
+            text = last + "."
+            if self.tokenizer.normalizer:
+                text = self.tokenizer.normalizer.normalize_str(text)
+            self.apart[last] = self.tokenizer.pre_tokenizer is not None and self.tokenizer.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "."
+        return self.apart[last]
+
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that were not seen. Runs of letters are encoded in one call, split where words end."""
         letters, others = [], []
@@ -56,7 +66,7 @@ class Encoder:
             self.kept[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of distinct chunks. A chunk's closing punctuation and its case in A-Z are taken off first, as neither changes the rest's ids."""
+        """Ids of distinct chunks. A chunk's case in A-Z and, after a letter or digit, its closing punctuation are taken off first, as neither changes the rest's ids."""
         if 2 * len(self.kept) > self.most:
             self.aged, self.kept = self.kept, {}
         kept, aged = self.kept, self.aged
@@ -68,8 +78,11 @@ class Encoder:
             core, tail = c, b""
             if b"<|" not in c:  # else it might be a special token, which is taken as it is written
                 low = c.lower()
-                core = low.rstrip(_ENDINGS) or low
-                tail = low[len(core) :]
+                core = low.rstrip(_ENDINGS)
+                if core and (core[-1:].isalnum() or core[-1] >= 128 and self._stands_apart(core.decode()[-1])):
+                    tail = low[len(core) :]
+                else:  # the tokenizer takes a run of marks and signs as one piece
+                    core = low
             split.append((i, core, tail))
             for x in (core, tail):
                 if x and x not in kept:

@@ -64,6 +64,15 @@ def test_odd_texts(spark):
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
 
 
+def test_closing_punctuation_after_marks_and_signs():
+    words = ["abc", "abc)", '"abc"', "abc%", "a/", '"x"', "é", "e\u0301", "है", "नहीं", "ที่", "😀", "I\u0307", "İ", "日本", "٣", "²", "ª", "𐐀", ")", "1", '"9233"329B"']
+    chunks = [w + e for w in words for e in ("", ".", ",", "!!", ".,;", "?!")]
+    got = packing.Encoder(Tokenizer.from_file(PATH).to_str()).encode_chunks([c.encode() for c in chunks])
+    tokenizer = Tokenizer.from_file(PATH)
+    for c, g in zip(chunks, got, strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == tokenizer.encode(c, add_special_tokens=False).ids, c
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, "c")], "doc_id long, text string")
     got = packing.pack_documents(df, PATH, ids=False).collect()
