@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import decontam, packing, pii, simhash, toxicity
+from ravelin.llm import decontam, packing, pii, resemblance, toxicity
 from ravelin.llm.queries import TOXIC
 from ravelin.scratch import materialize
 
@@ -18,16 +18,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the least doc_id of each near-duplicate component; of rows that repeat that id, one.
+    """Keep one row of each component of near copies (5-word similarity of 0.8 or more): the one with the least doc_id, and of those that repeat it, one.
 
     A row without an id goes by a hash of its text, which is above any usual id.
     """
     of_text = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
     keyed = docs.withColumn("_key", F.coalesce("doc_id", of_text))
-    found = simhash.near_duplicates(keyed, "_key")
-    kept = found.where("id = component_id").groupBy(F.col("id").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = keyed.join(kept, "_key")
-    once, more = joined.where("_n = 1"), joined.where("_n > 1").dropDuplicates(["_key"])
+    found = resemblance.near_copies(keyed, "_key")
+    least = found.groupBy("component", "id", "text_hash").agg(F.count(F.lit(1)).alias("_n")).groupBy("component").agg(F.min(F.struct("id", "text_hash", "_n")).alias("k"))
+    kept = least.select(F.col("k.id").alias("_key"), F.col("k.text_hash").alias("_hash"), "k._n")
+    joined = keyed.withColumn("_hash", F.xxhash64("text")).join(kept, ["_key", "_hash"])
+    once, more = joined.where("_n = 1"), joined.where("_n > 1").dropDuplicates(["_key", "_hash"])
     return once.unionByName(more).select(*docs.columns)
 
 
