@@ -56,11 +56,11 @@ def recall(pool: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
     return found.rollup("country").agg(F.count(F.lit(1)).alias("n_links"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
 
 
-def tfidf_pairs(s1: DataFrame, targets: DataFrame, text: str = "name_norm", most: int = 15, least: float = 0.25, sizes: tuple[int, ...] = (3, 4, 5), max_df: int = 2000) -> DataFrame:
+def tfidf_pairs(s1: DataFrame, targets: DataFrame, text: str = "name_norm", most: int = 15, least: float = 0.25, sizes: tuple[int, ...] = (3, 4, 5), max_df: int | None = None) -> DataFrame:
     """Cosine similarity of character-gram TF-IDF vectors, the ``most`` best targets of each record with at least ``least``.
 
-    Grams are taken inside space-padded words, term frequencies are sublinear, and document frequencies come from both sides. Grams in more than
-    ``max_df`` records of a country are left out of the vectors (a stop list by frequency, as for words), which bounds the join; None keeps all.
+    Grams are taken inside space-padded words, term frequencies are sublinear, and document frequencies come from both sides. All grams are kept, unless
+    ``max_df`` is given: then those in more records of a country are left out of the vectors, which bounds the join but loses candidates.
     """
 
     def grams(df: DataFrame, side: str):

@@ -177,3 +177,9 @@ def test_normalizing_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("normalized").first().name_norm == "foo"
+
+
+def test_tfidf_keeps_grams_that_most_records_have(spark):
+    records = lambda side, n: spark.range(n).selectExpr("'X' country", f"concat('{side}-', id) entity_id", "'common' name_norm")
+    got = blocking.tfidf_pairs(records("S1", 2), records("S2", 2001)).collect()
+    assert len(got) == 30 and {r.cosine for r in got} == {1.0}
