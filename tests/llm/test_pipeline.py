@@ -9,8 +9,9 @@ import corpus_pipeline as P
 from ravelin.llm import pii, toxicity
 from tests.conftest import SF
 from tests.llm.test_packing import check
-from tests.llm.test_pairs import slow_components, slow_contamination, slow_fingerprint
+from tests.llm.test_pairs import slow_contamination
 from tests.llm.test_pii import slow
+from tests.llm.test_resemblance import slow_kept
 
 
 @pytest.fixture(scope="module")
@@ -29,9 +30,9 @@ def test_stages_by_brute_force(spark, docs):
     assert texts_of(clean) == {i: t for i, t in before.items() if p[i] < 0.5} != before
 
     rows = sorted(texts_of(clean).items())
-    roots = slow_components([slow_fingerprint(t) for _, t in rows])
+    kept, _ = slow_kept([t for _, t in rows])
     single = P.keep_one_of_each(spark, clean, SF).cache()
-    assert texts_of(single) == {i: t for k, (i, t) in enumerate(rows) if roots[k] == k}
+    assert texts_of(single) == {i: t for k, (i, t) in enumerate(rows) if k in kept}
     assert single.count() < len(rows)
 
     rows = sorted(texts_of(single).items())
@@ -66,10 +67,13 @@ def test_run_equals_its_stages(spark, docs):
 
 def test_odd_rows_pass_every_stage(spark, docs):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id", "en", "s", 5), (None, "no id", "en", "s", 5), (3, "same id", "en", "s", 7), (3, "same id", "en", "s", 7), (4, "é" * 100000, None, "s", None), (5, None, "en", None, 1)]
-    table = spark.createDataFrame(rows, docs.schema).withColumn("n_words", F.lit(1).cast("long")).drop("n_words")
+    extra = ["hits", "items", "n_words", "p_toxic", "p_abusive", "base", "spans", "candidates", "_key", "_hash", "_n", "node", "length", "ids", "_group", "sequence_id", "_column_0"]
+    table = spark.createDataFrame(rows, docs.schema).withColumns({c: F.lit(c) for c in extra})
+    columns = table.columns
     for _, f in P.STAGES[:-1]:
         table = f(spark, table, SF)
-        assert table.columns == docs.columns
+        assert table.columns == columns
+    assert all(r[c] == c for r in table.collect() for c in extra)
     assert sorted((str(r.doc_id), (r.text or "")[:7]) for r in table.collect()) == [("1", ""), ("3", "same id"), ("4", "é" * 7), ("None", "no id")]
     want = len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("é" * 100000, add_special_tokens=False).ids) + 1
     packed = P.pack_sequences(spark, table, SF).collect()
