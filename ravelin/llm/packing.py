@@ -1,38 +1,60 @@
 """Packing of tokenized documents into sequences by first-fit decreasing.
 
-Documents are dealt to groups by a hash of their key, and each group is packed by itself. A document's ids are cut at
-multiples of the capacity; full pieces are sequences of their own, and the rest go, longest first, into the first sequence
+A document's ids are cut at multiples of the capacity, the pieces are dealt to groups by a hash, and each group is packed by itself; full pieces are sequences of their own, and the rest go, longest first, into the first sequence
 with room, which a tournament tree over the sequences' free room finds in logarithmic time.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ravelin.llm.words import NOT_SPACE, Words, slices, small_batches
+from ravelin.llm.words import slices, small_batches
 
 _ENDINGS = b".,;:!?"
+#: Letters and digits that no mark can be
+_PLAIN = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: The pieces that white space cannot be part of or join: contractions, runs of letters, single digits, runs of all else but white space
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def drops_space(tokenizer_json: str) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and never joins text across it, told by its normalizer and pre-tokenizer; anything that is not known to do so does not."""
+    spec = json.loads(tokenizer_json)
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [n.get("type") for n in norm.get("normalizers", [])]
+    first, *rest = pre.get("pretokenizers") or [{}]
+    cut = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first.get("pattern") == {"Regex": _PIECES}
+    bytes_only = all(r.get("type") == "ByteLevel" and not r.get("add_prefix_space") and not r.get("use_regex") for r in rest)
+    special = all(not t.get("normalized") and not t.get("lstrip") and not t.get("rstrip") and t["content"].startswith("<|") for t in spec.get("added_tokens") or [])
+    return bool(cut and bytes_only and special and "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"} and not spec.get("truncation"))
 
 
 class Encoder:
     """Token ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False)``.
 
-    For tokenizers that drop white space and never join text across it (``spaceless``), white-space runs cut the text into chunks, each distinct
-    chunk is encoded once, and its ids are reused; ``most`` bounds how many are kept, the latest ones. Other tokenizers encode each text whole.
+    Where the tokenizer drops white space (:func:`drops_space`), white space cuts the text into chunks, each distinct chunk is encoded once, and its
+    ids are reused; ``most`` bounds how many are kept, the latest ones. Other tokenizers encode each text whole.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 300_000, spaceless: bool = True):
+    def __init__(self, tokenizer_json: str, most: int = 400_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.most, self.spaceless = most, spaceless
+        self.most, self.spaceless = most, drops_space(tokenizer_json)
+        words = json.loads(tokenizer_json) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.plain = Tokenizer.from_str(json.dumps(words)) if self.spaceless else self.tokenizer
+        #: ids of chunks as they stand in texts, and of the cores and endings they are made of; the latter halves are the older
         self.kept: dict[bytes, bytes] = {}
         self.aged: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
         self.apart: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -48,73 +70,75 @@ class Encoder:
             self.apart[last] = self.tokenizer.pre_tokenizer is not None and self.tokenizer.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "."
         return self.apart[last]
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks that were not seen. Runs of letters are encoded in one call, split where words end."""
-        letters, others = [], []
-        for c in chunks:
-            (letters if c.decode().isalpha() else others).append(c)
-        if letters:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, cores: list[bytes]) -> None:
+        """Encode cores that were not seen. Runs of letters are encoded in one call, split where words end; those of a to z alone without the steps that change nothing in them."""
+        plain, letters, others = [], [], []
+        for c in cores:
+            (others if not c.decode().isalpha() else plain if c.isascii() and c.islower() else letters).append(c)
+        for some, tokenizer in ((plain, self.plain), (letters, self.tokenizer)):
+            if not some:
+                continue
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1 if self.closes.size and ids.size and ids.max() < self.closes.size else ids[:0]
-            if len(ends) == len(letters) and ends[-1] == len(ids):
+            if len(ends) == len(some) and ends[-1] == len(ids):
                 raw = ids.tobytes()
-                for c, a, b in zip(letters, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    self.kept[c] = raw[4 * a : 4 * b]
+                for c, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    self.cores[c] = raw[4 * a : 4 * b]
             else:
-                others += letters
+                others += some
         for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False), strict=True):
-            self.kept[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of distinct chunks. A chunk's case in A-Z and, after a letter or digit, its closing punctuation are taken off first, as neither changes the rest's ids."""
-        if 2 * len(self.kept) > self.most:
-            self.aged, self.kept = self.kept, {}
-        kept, aged = self.kept, self.aged
-        out = [kept.get(c) for c in chunks]
+            self.cores[c] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """The table of ids, with all of ``chunks`` in it.
+
+        The case of ASCII chunks and, after a letter or digit, a chunk's closing punctuation are taken off first, as neither changes the rest's ids. (In
+        other chunks case may decide what a mark composes with.)
+        """
+        if len(self.kept) > self.most:
+            self.aged, self.kept, self.cores = self.kept, {}, {}
+        kept, aged, cores = self.kept, self.aged, self.cores
         split, new = [], set()
-        for i, c in enumerate(chunks):
-            if out[i] is not None:
+        for c in chunks:
+            if c in kept:
+                continue
+            if c in aged:
+                kept[c] = aged[c]
                 continue
             core, tail = c, b""
             if b"<|" not in c:  # else it might be a special token, which is taken as it is written
-                low = c.lower()
+                low = c.lower() if c.isascii() else c
                 core = low.rstrip(_ENDINGS)
-                if core and (core[-1:].isalnum() or core[-1] >= 128 and self._stands_apart(core.decode()[-1])):
+                if len(core) == len(low):
+                    pass
+                elif core and (core[-1] in _PLAIN or core[-1] >= 128 and self._stands_apart(core.decode()[-1])):
                     tail = low[len(core) :]
                 else:  # the tokenizer takes a run of marks and signs as one piece
                     core = low
-            split.append((i, core, tail))
-            for x in (core, tail):
-                if x and x not in kept:
-                    if x in aged:
-                        kept[x] = aged[x]
-                    else:
-                        new.add(x)
+            if core in cores and (not tail or tail in cores):
+                kept[c] = cores[core] + cores[tail] if tail else cores[core]
+                continue
+            split.append((c, core, tail))
+            new.add(core)
+            if tail:
+                new.add(tail)
         if new:
-            self._learn(list(new))
-        for i, core, tail in split:
-            out[i] = kept[core] + kept[tail] if tail else kept[core]
-        return out
+            self._learn([c for c in new if c not in cores])
+        for c, core, tail in split:
+            kept[c] = cores[core] + cores[tail] if tail else cores[core]
+        return kept
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
+        raw, cuts = data.tobytes(), offsets.tolist()
         if not self.spaceless:
-            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
             return
-        w = Words(data, offsets, NOT_SPACE)
-        _, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        ids = self.encode_chunks([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
-        joined = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        each = sizes[which]
-        at = np.concatenate([[0], np.cumsum(each)])
-        flat = joined[np.repeat(begins[which] - at[:-1], each) + np.arange(at[-1])] if at[-1] else joined[:0]
-        for a, b in zip(at[w.first[:-1]].tolist(), at[w.first[1:]].tolist(), strict=True):
-            yield flat[a:b].tobytes()
+        texts = [raw[a:b].split() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids = self.learn(set().union(*texts)).__getitem__
+        for chunks in texts:
+            yield b"".join(map(ids, chunks))
 
 
 class Tournament:
@@ -162,8 +186,11 @@ def pack(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int | None = 1, spaceless: bool = True, ids: bool = True) -> DataFrame:
-    """Each text's token ids, cut at multiples of ``capacity``: ``doc_id``, ``start``, ``length``, ``doc_tokens``, ``ids_crc32`` and, with ``ids``, the ``ids``."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int | None = 1, ids: bool = True) -> DataFrame:
+    """Each text's token ids, cut at multiples of ``capacity``: ``doc_id``, ``start``, ``length``, ``doc_tokens``, ``ids_crc32``, ``copy`` and, with ``ids``, the ``ids``.
+
+    ``copy`` tells equal pieces of a partition apart: null for the first of them, then numbers that are of this partition.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
@@ -171,10 +198,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, spaceless)
+        encoder, seen, task = _encoder(shared.value), Counter(), TaskContext.get()
+        partition = (task.partitionId() if task else 0) << 32
         for b in batches:
+            keys = b.column(0).to_pylist()
             for at, data, offsets in slices(b.column(1), 2 << 20):
-                rows, start, length, total, crc, raw = [], [], [], [], [], []
+                rows, start, length, total, crc, raw, copy = [], [], [], [], [], [], []
                 for i, body in enumerate(encoder.encode(data, offsets), at):
                     body += tail
                     for a in range(0, len(body), step):
@@ -184,43 +213,46 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                         length.append(len(piece) // 4)
                         total.append(len(body) // 4)
                         crc.append(zlib.crc32(piece))
+                        known = (keys[i], a, crc[-1])
+                        copy.append(partition + seen[known] if seen[known] else None)
+                        seen[known] += 1
                         raw.append(np.frombuffer(piece, "<u4"))
-                out = [b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, total, crc))]
-                names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"]
+                out = [b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, total, crc, copy))]
+                names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "copy"]
                 if ids:
                     flat = np.concatenate(raw).astype(np.int32) if raw else np.zeros(0, np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    columns = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids
+    columns = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint, copy bigint" + ", ids array<int>" * ids
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, columns)
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(tokenizer_json: str, spaceless: bool) -> Encoder:
+def _encoder(tokenizer_json: str) -> Encoder:
     """A Python worker keeps the encoder it used last, with the chunks that it knows."""
-    key = (tokenizer_json, spaceless)
-    if key not in _encoders:
+    if tokenizer_json not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokenizer_json, spaceless=spaceless)
-    return _encoders[key]
+        _encoders[tokenizer_json] = Encoder(tokenizer_json)
+    return _encoders[tokenizer_json]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int | None = 1, group_docs: int = 2048, spaceless: bool = True, ids: bool = True, seed: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int | None = 1, group_docs: int = 2048, ids: bool = True, seed: int = 0) -> DataFrame:
     """The pieces of :func:`token_pieces` with ``sequence_id`` and ``offset`` (gapless from 0 in each sequence).
 
     Each text (null: empty) is encoded whole and closed by ``end_id``; with no end id, an empty text has no piece. Rows of one id
-    are documents of their own. Groups of about ``group_docs`` rows by a salted hash are packed each by itself, so that a task's memory
-    follows the group and a lost task is repeated with the same result. Only what the pieces carry is shuffled: with ``ids`` their ids too.
-    The tokenizer file is read on the driver and sent to the executors (a vocabulary of a few MB).
+    are documents of their own. The pieces of about ``group_docs`` rows by a salted hash are packed each group by itself, so that a task's memory
+    follows the group and a lost task is repeated with the same result; the pieces of a very long document and repeated rows are dealt to many groups. Only what the
+    pieces carry is shuffled: with ``ids`` their ids too. The tokenizer file is read on the driver and sent to the executors (a vocabulary of a few MB).
+    An empty table has no pieces; other columns of ``docs`` are not read.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    pieces = token_pieces(docs, tokenizer_path, id_col, text, capacity, end_id, spaceless, ids)
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups)))
+    pieces = token_pieces(docs, tokenizer_path, id_col, text, capacity, end_id, ids)
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "copy"), F.lit(groups))).drop("copy")
     schema = dealt.drop("_group").schema.add("sequence_id", "long").add("offset", "long")
 
     def run(table: pa.Table) -> pa.Table:
