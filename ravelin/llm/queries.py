@@ -100,7 +100,8 @@ def _is(kind: str) -> Callable:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+    added = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in pii.ADDED]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"), *added)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
