@@ -53,8 +53,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put each span's kind in its place, and count the characters anew. Null texts stay null."""
-    found = pii.find_personal_data(_apart(docs, "text", "n_chars"))
-    text = F.when(F.col("text").isNotNull(), pii.redact(F.col("text"), F.col("spans")))
+    found = pii.find_personal_data(_apart(docs, "text", "n_chars"), redacted="clean")
+    text = F.when(F.col("text").isNotNull(), F.col("clean"))
     return _back(found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")), docs, "text", "n_chars")
 
 
