@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ravelin.llm.words import ALNUM, LOWER, NOT_SPACE, Words, byte_class, slices
+from ravelin.llm.words import ALNUM, LOWER, NOT_SPACE, Words, byte_class, slices, small_batches
+from ravelin.scratch import materialize
 
 
 def remainder(doc_id: str, modulus: int) -> Column:
@@ -15,23 +19,48 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def lowest(df: DataFrame, order: Column, most: int) -> DataFrame:
-    """The ``most`` rows with the lowest hashes. Where there are many more rows, hashes far above the share that is wanted go first, so that each partition sends few rows to be ordered."""
-    n = df.count()
+def lowest(ids: DataFrame, order: Column, most: int) -> DataFrame:
+    """The ``most`` distinct rows with the lowest hashes.
+
+    Where there are many more rows, those with hashes far above the share that is wanted are left aside first, so that each partition sends few rows to be
+    ordered; should too few distinct rows be below that (as when rows repeat), all are ordered after all.
+    """
+    n = ids.count()
     if n > 4 * most:
-        df = df.where(order < int((2 * most / n - 0.5) * 2**64))
-    return df.orderBy(order, *df.columns).limit(most)
+        few = ids.where(order < int((2 * most / n - 0.5) * 2**64)).distinct()
+        if few.count() >= most:
+            return few.orderBy(order, *ids.columns).limit(most)
+    return ids.distinct().orderBy(order, *ids.columns).limit(most)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, id_col: str = "doc_id", text: str = "text", seed: int = 0) -> list:
-    """At most ``most`` rows (text, *columns) of documents that have a label, those whose ids hash lowest: every id is as likely, and the same come each time.
+def sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, id_col: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+    """A table of at most ``most`` rows ``id``, ``text``, ``columns``: of the documents that have a label (a row of ``labels``), those whose ids hash lowest, so that every id is as likely and the same come each time.
 
-    Only the ids are ordered; the chosen labels, at most ``most`` rows, are broadcast to the scan of the documents.
+    An id counts once: with the greatest label of each column, and of several texts the one whose hash is least. Only ids are ordered; the chosen
+    labels, at most ``most`` rows, are broadcast to the scan of the documents. Whole texts go to the shared folder, none to the driver.
     """
     order = F.xxhash64(F.lit(seed), F.col(id_col))
-    chosen = lowest(labels.where(F.col(id_col).isNotNull()).select(id_col, *columns), order, most)
-    rows = docs.select(id_col, F.col(text).cast("binary").alias("_bytes")).join(F.broadcast(chosen), id_col).orderBy(order, *columns).limit(most)
-    return [(bytes(r["_bytes"] or b""), *(r[c] for c in columns)) for r in rows.collect()]
+    chosen = lowest(labels.where(F.col(id_col).isNotNull()).select(id_col), order, most)
+    if columns:
+        chosen = labels.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(*[F.max(c).alias(c) for c in columns])
+    rows = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(chosen), id_col).withColumn("_hash", F.xxhash64("_text"))
+    return materialize(rows.groupBy(F.col(id_col).alias("id"), *columns).agg(F.min_by("_text", "_hash").alias("text")), "sample")
+
+
+def matrix(rows: DataFrame, of: Callable[[pa.Array], np.ndarray], columns: list[str]) -> tuple[np.ndarray, list]:
+    """Features (32-bit floats, a row for each text) that executors compute of a bounded sample's texts, and the sample's other columns, by id."""
+    kept = ["id", *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = of(b.column(len(kept))).astype("<f4")
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array([r.tobytes() for r in x], pa.binary())], names=[*kept, "x"])
+
+    small_batches(rows.sparkSession)
+    schema = T.StructType([rows.schema[c] for c in kept]).add("x", "binary")
+    found = sorted(rows.select(*kept, "text").mapInArrow(run, schema).collect(), key=lambda r: r[0])
+    width = of(pa.array([], pa.string())).shape[1]
+    return np.frombuffer(b"".join(r[-1] for r in found), "<f4").reshape(len(found), width), [tuple(r)[:-1] for r in found]
 
 
 def binary(texts: list[bytes]) -> pa.Array:
@@ -72,39 +101,40 @@ class Vocabulary:
         return out
 
 
-def token_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The distinct token hashes of each text."""
-    out = []
-    for _, data, offsets in slices(texts):
-        h, doc = tokens(data, offsets)
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        out += np.split(h[new], np.searchsorted(doc[new], np.arange(1, len(offsets) - 1)))
-    return out
-
-
-def keyness(sets: list[np.ndarray], label: np.ndarray, least: int = 3, ratio: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Words in at least ``least`` texts, and how far their share among texts of label 1 stands out (the signed root of the likelihood-ratio statistic); with ``ratio``, only those at least so many times as frequent there."""
-    def counted(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate(some) if some else np.zeros(0, np.uint64), return_counts=True)
-
-    every, n = counted(sets)
-    among, n1_of = counted([s for s, y in zip(sets, label.tolist(), strict=True) if y])
-    n1 = np.zeros(len(every), np.int64)
-    n1[np.searchsorted(every, among)] = n1_of
-    n0 = n - n1
-    t1, t0 = max(1, label.sum()), max(1, len(label) - label.sum())
-    total, has = t1 + t0, n1 + n0
-
-    def part(seen: np.ndarray, row: float, column: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) * total / (row * np.maximum(column, 1))), 0)
-
-    ratio_test = 2 * (part(n1, t1, has) + part(t1 - n1, t1, total - has) + part(n0, t0, has) + part(t0 - n0, t0, total - has))
-    score = np.sign(n1 / t1 - n0 / t0) * np.sqrt(np.maximum(ratio_test, 0))
-    kept = (n1 + n0 >= least) & (n1 / t1 >= ratio * n0 / t0)
-    return every[kept], score[kept]
+def token_counts(rows: DataFrame, label: str, folds: int) -> DataFrame:
+    """``token`` (hash), and in how many texts of a sample it is, by fold and label: ``n`` (array, the label's two counts for each fold). A row's fold is a hash of its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = b.column(0).to_numpy()
+            for at, data, offsets in slices(b.column(1)):
+                h, doc = tokens(data, offsets)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                token, which = np.unique(h[new], return_inverse=True)
+                n = np.bincount(which * 2 * folds + cell[at + doc[new]], minlength=len(token) * 2 * folds).astype(np.int64)
+                ends = pa.array((np.arange(len(token) + 1) * 2 * folds).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(n))], names=["token", "n"])
+
+    small_batches(rows.sparkSession)
+    cell = (fold_of("id", folds) * 2 + (F.col(label) > 0).cast("int")).cast("int")
+    counted = rows.select(cell.alias("cell"), "text").mapInArrow(run, "token bigint, n array<bigint>")
+    return counted.groupBy("token").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(2 * folds)]).select("token", F.array(*[f"n{i}" for i in range(2 * folds)]).alias("n"))
+
+
+def fold_of(id_col: str, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(folds)).cast("int")
+
+
+def standing_out(n1: Column, n0: Column, t1: int, t0: int) -> Column:
+    """How far a token's share among ``t1`` texts of label 1 stands out from that among ``t0`` others: the signed root of the likelihood-ratio statistic."""
+    t1, t0 = max(1, t1), max(1, t0)
+    has, total = n1 + n0, t1 + t0
+    part = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * total / (row * column))).otherwise(0.0)
+    test = 2 * (part(n1, t1, has) + part(t1 - n1, t1, total - has) + part(n0, t0, has) + part(t0 - n0, t0, total - has))
+    return F.signum(n1 / t1 - n0 / t0) * F.sqrt(F.greatest(test, F.lit(0.0)))
 
 
 _CLASSES = {

@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.features import binary, lowest, sigmoid
-from ravelin.llm.words import LOWER, NOT_SPACE, Words, slices, small_batches
+from ravelin.llm.features import sigmoid
+from ravelin.llm.words import LOWER, NOT_SPACE, Words, mix, slices, small_batches
+from ravelin.scratch import materialize, remove
 
 WINDOW, EMBED, HIDDEN = 24, 12, 16
 #: Log-probabilities summed over positions are tempered by this much, as neighbouring positions say nearly the same.
@@ -156,23 +157,17 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return padded, left, np.repeat(docs, times), window, np.repeat(count, times)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 0) -> Model:
-    """Train on every word of the texts, each with its text's language. Languages weigh as their words do, but for a square root."""
+def train(padded: np.ndarray, size: np.ndarray, count: np.ndarray, labels: list[str], epochs: int = 3, batch: int = 512, rate: float = 0.01, seed: int = 0) -> Model:
+    """Train on windows, each with how often it occurs and its text's language. Windows weigh as the root of their counts, and languages as the root of theirs. No windows give an untrained model."""
     languages = sorted(set(labels))
     model = make_model(languages or ["und"], seed)
     code = {x: i for i, x in enumerate(languages)}
-    parts, sizes, label, weight = [], [], [], []
-    for language in languages:
-        own = binary([t for t, x in zip(texts, labels, strict=True) if x == language])
-        for _, data, offsets in slices(own):
-            padded, size, _, window, count = windows_of(data, offsets)
-            parts.append(padded)
-            sizes.append(size)
-            label.append(np.full(len(size), code[language]))
-            weight.append(np.sqrt(np.bincount(window, count, len(size))))
-    if not parts or not sum(map(len, sizes)):
+    if not len(size):
         return model
-    padded, size, label, weight = np.concatenate(parts), np.concatenate(sizes), np.concatenate(label), np.concatenate(weight)
+    label = np.array([code[x] for x in labels], np.int64)
+    _, first, same = np.unique(np.concatenate([padded, label.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1), axis=0, return_index=True, return_inverse=True)
+    weight = np.sqrt(np.bincount(same.ravel(), count))
+    padded, size, label = padded[first], size[first], label[first]
     share = np.bincount(label, weight, len(languages))
     weight = weight / np.sqrt(share[label])
     rng = np.random.default_rng(seed)
@@ -191,20 +186,45 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 3, batch: int = 5
     return model
 
 
-def fit(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "text", most: int = 1500, bytes_each: int = 4000) -> Model:
-    """Train on at most ``most`` documents whose language is not null, of which each gives its words up to ``bytes_each`` bytes; the ids that hash lowest are taken.
+def sampled_windows(rows: DataFrame, lang: str, each: int) -> DataFrame:
+    """``lang``, ``window`` (its bytes, padded with zeros), ``size`` and ``count``: of each row's (``salt``, ``text``) whole text at most ``each`` distinct windows, those whose salted hashes are lowest."""
 
-    The bounds hold for training alone; prediction reads every text whole.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            salt = b.column(1).to_numpy().view(np.uint64)
+            for at, data, offsets in slices(b.column(2)):
+                padded, size, doc, window, count = windows_of(data, offsets)
+                key = mix(np.ascontiguousarray(padded).view("<u8") * np.array([3, 5, 7], np.uint64)).sum(axis=1, dtype=np.uint64)
+                order = np.lexsort((mix(key[window] ^ salt[at + doc]), doc))
+                place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+                kept = order[place < each]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + doc[kept])), pa.array([padded[w].tobytes() for w in window[kept]], pa.binary()), pa.array(size[window[kept]]), pa.array(count[kept])], names=["lang", "window", "size", "count"])
+
+    small_batches(rows.sparkSession)
+    return rows.select(lang, "salt", "text").mapInArrow(run, "lang string, window binary, size bigint, count bigint")
+
+
+def fit(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "text", most: int = 500, windows: int = 600_000) -> Model:
+    """Train on at most ``most`` documents of each language (null: none), those whose ids hash lowest, and on at most ``windows`` windows in all, drawn from the whole texts.
+
+    The bounds hold for training alone; prediction reads every text whole. Of rows that repeat an id one counts. No rows give an untrained model, of the one language ``und``.
     """
-    known = docs.where(F.col(lang).isNotNull()).select(id_col, lang, text)
-    share = lowest(known.select(id_col), F.xxhash64(F.lit(0), id_col), most)
-    rows = known.join(F.broadcast(share.distinct()), id_col).where(F.col(text).isNotNull())
-    rows = rows.select(F.xxhash64(F.lit(0), id_col).alias("_h"), lang, F.substring(F.col(text).cast("binary"), 1, bytes_each).alias("raw")).orderBy("_h", lang, "raw").limit(most).select("raw", lang).collect()
-    return train([bytes(r[0]).rpartition(b" ")[0] or bytes(r[0]) for r in rows], [r[1] for r in rows])
+    known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & F.col(text).isNotNull())
+    order = Window.partitionBy(lang).orderBy("salt", id_col)
+    ids = known.select(id_col, lang, F.xxhash64(F.lit(0), id_col).alias("salt")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank").distinct()
+    texts = known.select(id_col, lang, F.col(text).alias("_text")).join(F.broadcast(ids), [id_col, lang]).withColumn("_hash", F.xxhash64("_text"))
+    rows = materialize(texts.groupBy(id_col, lang, "salt").agg(F.min_by("_text", "_hash").alias("text")), "sample")
+    found = sampled_windows(rows, lang, max(1, windows // max(1, rows.count()))).toPandas().sort_values(["lang", "window", "count"])
+    remove(rows)
+    padded = np.frombuffer(b"".join(map(bytes, found["window"])), np.uint8).reshape(-1, WINDOW)
+    return train(padded, found["size"].to_numpy(np.int64), found["count"].to_numpy(np.int64), found["lang"].tolist())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1) to ``docs``: the language with the highest pooled probability, or ``und`` with score 0 where a text is null or has no letter."""
+    """Add ``lang_pred`` and ``score`` (0 to 1) to ``docs``: the language with the highest pooled probability, or ``und`` with score 0 where a text is null or has no letter.
+
+    Equal texts get equal results, an empty table stays empty; columns named like an added one are an error.
+    """
     if clash := {"lang_pred", "score"} & set(docs.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")
     shared, place = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model)), docs.columns.index(text)
@@ -226,5 +246,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 best[at : at + n], top[at : at + n] = p.argmax(1), p.max(1)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.where(has, names[best], "und"), pa.string()), pa.array(np.where(has, top, 0.0))], names=schema.names)
 
-    small_batches(docs.sparkSession, 4000)
-    return docs.withColumn("_letter", F.coalesce(F.col(text).rlike(LETTER), F.lit(False))).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    letter = "_letter"
+    while letter in docs.columns:
+        letter = "_" + letter
+    return docs.withColumn(letter, F.coalesce(F.col(text).rlike(LETTER), F.lit(False))).mapInArrow(run, schema)

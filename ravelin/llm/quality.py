@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.features import binary, labelled_sample, logistic, predict, sigmoid, style
+from ravelin.llm.features import logistic, matrix, predict, sample, sigmoid, style
 from ravelin.llm.words import small_batches
+from ravelin.scratch import remove
 
 HIDDEN = 24
 
@@ -106,16 +107,18 @@ def fit_network(positive: np.ndarray, unlabelled: np.ndarray, prior: float, roun
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", id_col: str = "doc_id", text: str = "text", most: int = 6000, prior: float | None = None) -> Network:
     """Fit on at most ``most`` trusted positives (rows of ``labels`` where ``train`` holds and the label is 1) and as many unlabelled documents where ``train`` holds.
 
-    The unlabelled rows are drawn from all such documents, labelled or not, and their labels are never looked at. ``prior`` is estimated from the two samples if it is not given.
+    The unlabelled rows are drawn from all such documents, labelled or not, and their labels are never looked at. Only the features come to the driver. ``prior`` is estimated from the two samples if it is not given.
     """
-    positive = labelled_sample(docs, labels.where(train & (F.col(label) == 1)), [], most, id_col, text)
-    web = labelled_sample(docs, docs.where(train).select(id_col), [], most, id_col, text, seed=1)
-    p, u = (style(binary([r[0] for r in rows])).astype(np.float64) for rows in (positive, web))
+    positive = sample(docs, labels.where(train & (F.col(label) == 1)), [], most, id_col, text)
+    web = sample(docs, docs.where(train).select(id_col), [], most, id_col, text, seed=1)
+    p, u = (matrix(rows, style, [])[0].astype(np.float64) for rows in (positive, web))
+    for done in (positive, web):
+        remove(done)
     return fit_network(p, u, estimate_prior(p, u) if prior is None else prior)
 
 
 def score(docs: DataFrame, network: Network, text: str = "text", column: str = "score") -> DataFrame:
-    """Add the probability (double) of good quality to ``docs``, from the whole text (null: empty)."""
+    """Add the probability (double) of good quality to ``docs``, from the whole text (null: empty). Equal texts get equal scores, an empty table stays empty; a column named like the added one is an error."""
     if column in docs.columns:
         raise ValueError(f"a column named {column} exists")
     shared, at = docs.sparkSession.sparkContext.broadcast(pickle.dumps(network)), docs.columns.index(text)

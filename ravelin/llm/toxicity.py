@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another. Each has a linear model over word features and the probabilities of the categories
-before it. For training these probabilities come out of fold, from models that have not seen the row, so that the later
+before it. For training these probabilities come out of fold, from models, words and weak labels that have not seen the row, so that the later
 model meets the errors it will meet in use.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.features import Vocabulary, binary, labelled_sample, keyness, logistic, predict, token_sets
+from ravelin.llm.features import Vocabulary, fold_of, logistic, matrix, predict, sample, standing_out, token_counts
 from ravelin.llm.words import small_batches
+from ravelin.scratch import materialize, remove
 
 CHAIN = ("abusive", "repeated", "toxic")
 
@@ -42,55 +44,69 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(1 + counts), 3)
 
 
-def fit_chain(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], words: int = 256, folds: int = 5, ridge: float = 1.0, sets: list[np.ndarray] | None = None) -> Chain:
-    """Fit on rows of ``labels`` (texts by categories, 0 or 1).
+def fit_links(x: list[np.ndarray], labels: list[np.ndarray], fold: np.ndarray, ridge: float = 1.0) -> list[np.ndarray]:
+    """Weights of each category's model. ``x``, ``labels``: features and labels (rows by categories, 0 or 1) as made of all rows, and then for each fold as made without it.
 
-    The vocabulary holds the words that stand out most for any category. With no rows, or one class only, the probabilities are near that class.
+    With no rows, or one class only, the probabilities are near that class.
     """
-    sets = token_sets(binary(texts)) if sets is None else sets
-    best: dict[int, float] = {}
-    for c in range(labels.shape[1]):
-        hashes, score = keyness(sets, labels[:, c])
-        for i in np.argsort(-np.abs(score), kind="stable")[:words].tolist():
-            best[int(hashes[i])] = max(best.get(int(hashes[i]), 0), abs(float(score[i])))
-    chosen = sorted(best, key=lambda h: (-best[h], h))[:words]
-    vocabulary = Vocabulary(np.array(chosen, np.uint64))
-    x = _scaled(vocabulary.counts(binary(texts))) if texts else np.zeros((0, len(vocabulary)))
-    fold = np.arange(len(texts)) % folds
-    earlier, weights = np.zeros((len(texts), 0)), []
-    for c in range(labels.shape[1]):
-        z, y = np.concatenate([x, earlier], axis=1), labels[:, c]
-        weights.append(logistic(z, y, ridge))
-        out = np.zeros(len(texts))
-        for k in range(folds):
+    rows, categories = labels[0].shape
+    earlier, weights = np.zeros((rows, 0)), []
+    for c in range(categories):
+        weights.append(logistic(np.concatenate([x[0], earlier], axis=1), labels[0][:, c], ridge))
+        out = np.zeros(rows)
+        for k in range(len(x) - 1):
             if (fold == k).any():
-                out[fold == k] = predict(logistic(z[fold != k], y[fold != k], ridge), z[fold == k])
+                z = np.concatenate([x[1 + k], earlier], axis=1)
+                out[fold == k] = predict(logistic(z[fold != k], labels[1 + k][fold != k, c], ridge), z[fold == k])
         earlier = np.concatenate([earlier, out[:, None]], axis=1)
-    return Chain(categories, vocabulary, weights)
+    return weights
 
 
-def abuse_terms(sets: list[np.ndarray], toxic: np.ndarray, most: int = 64, least: float = 4.0) -> Vocabulary:
-    """Tokens that stand out among toxic texts by ``least`` or more and are at least ten times as frequent there."""
-    hashes, score = keyness(sets, toxic, least=5, ratio=10)
-    top = np.argsort(-score, kind="stable")[:most]
-    return Vocabulary(hashes[top][score[top] >= least])
+def chosen_tokens(counts: DataFrame, texts: np.ndarray, words: int, terms: int, least: float = 4.0) -> tuple[list[list[int]], list[list[int]]]:
+    """By view (all folds, then all but each one): the ``words`` tokens in 3 texts or more that stand out most, and up to ``terms`` abusive ones: in 5 texts or more, ten times as frequent among toxic texts, and standing out by ``least``.
 
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", most: int = 6000) -> Chain:
+    ``texts``: how many texts there are, folds by labels. Only the chosen tokens come to the driver.
+    """
+    folds, n = len(texts), F.col("n")
+    parts = []
+    for view in range(-1, folds):
+        used = [k for k in range(folds) if k != view]
+        t0, t1 = (int(texts[used, y].sum()) for y in (0, 1))
+        n0, n1 = (reduce(lambda a, b: a + b, [F.get(n, F.lit(2 * k + y)) for k in used]) for y in (0, 1))
+        seen = counts.select("token", n0.alias("n0"), n1.alias("n1")).where("n0 + n1 >= 3").withColumn("score", standing_out(F.col("n1"), F.col("n0"), t1, t0))
+        abusive = (F.col("n0") + F.col("n1") >= 5) & (F.col("n1") / max(1, t1) >= 10 * F.col("n0") / max(1, t0)) & (F.col("score") >= least)
+        parts.append(seen.orderBy(F.desc(F.abs("score")), "token").limit(words).select(F.lit(view).alias("view"), F.lit(0).alias("kind"), "token"))
+        parts.append(seen.where(abusive).orderBy(F.desc("score"), "token").limit(terms).select(F.lit(view).alias("view"), F.lit(1).alias("kind"), "token"))
+    found = reduce(DataFrame.unionByName, parts).collect()
+    pick = lambda kind: [sorted(r.token % (1 << 64) for r in found if r.view == v and r.kind == kind) for v in range(-1, folds)]
+    return pick(0), pick(1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", most: int = 6000, words: int = 256, terms: int = 64, folds: int = 5, categories: tuple[str, ...] = CHAIN) -> Chain:
     """Fit the chain of :data:`CHAIN` on at most ``most`` labelled rows (null labels are left out).
 
-    Only the last category is labelled by hand. The two before it are weak labels: whether a text has any word, or three, of those that set toxic texts apart.
+    Only the last category is labelled by hand. The two before it are weak labels: whether a text has any word, or three, of those that set toxic texts apart. Words
+    are chosen anew without each fold. What comes to the driver are the chosen words and their counts in the sampled texts, at most ``most`` rows by a few hundred words.
+    Tables without rows or labels give a chain that is near even odds.
     """
-    rows = labelled_sample(docs, labels.where(F.col(label).isNotNull()), [label], most, id_col, text)
-    texts, toxic = [r[0] for r in rows], np.array([int(r[1] > 0) for r in rows], np.int64)
-    sets = token_sets(binary(texts))
-    terms = abuse_terms(sets, toxic)
-    found = terms.counts(binary(texts)).sum(axis=1) if texts else np.zeros(0)
-    return fit_chain(texts, np.stack([found >= 1, found >= 3, toxic > 0], axis=1).astype(float) if texts else np.zeros((0, 3)), CHAIN, sets=sets)
+    rows = sample(docs, labels.where(F.col(label).isNotNull()), [label], most, id_col, text)
+    counts = materialize(token_counts(rows, label, folds), "tokens")
+    by_fold = {(r.fold, r.y): r.n for r in rows.groupBy(fold_of("id", folds).alias("fold"), (F.col(label) > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    vocabularies, abusive = chosen_tokens(counts, np.array([[by_fold.get((k, y), 0) for y in (0, 1)] for k in range(folds)]), words, terms)
+    every = Vocabulary(np.array(sorted({t for v in vocabularies + abusive for t in v}), np.uint64))
+    table, told = matrix(rows.withColumn("fold", fold_of("id", folds)), every.counts, [label, "fold"])
+    for done in (rows, counts):
+        remove(done)
+    toxic, fold = (np.array([r[i] for r in told], np.int64) for i in (1, 2))
+    at = lambda some: np.searchsorted(every.hashes, np.array(some, np.uint64))
+    x = [_scaled(table[:, at(v)]).astype(np.float64) for v in vocabularies]
+    found = [table[:, at(a)].sum(axis=1) for a in abusive]
+    y = [{"abusive": f >= 1, "repeated": f >= 3, "toxic": toxic > 0} for f in found]
+    return Chain(categories, Vocabulary(np.array(vocabularies[0], np.uint64)), fit_links(x, [np.stack([v[c] for c in categories], axis=1).astype(float) for v in y], fold))
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
-    """Add a probability (double) for each category to ``docs``, from the whole text (null: empty)."""
+    """Add a probability (double) for each category to ``docs``, from the whole text (null: empty). Equal texts get equal probabilities, an empty table stays empty; columns named like an added one are an error."""
     names = [prefix + c for c in chain.categories]
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")

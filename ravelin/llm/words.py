@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,10 +93,12 @@ class Words:
         return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of at most ``rows`` rows, so that a batch of long texts does not fill an executor."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Batches that go to Python hold about ``most`` bytes, so that long texts do not fill an executor. A session that has a lower bound keeps it; how many rows a batch may have is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0) > most:
+        spark.conf.set(key, str(most))
 
 
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
