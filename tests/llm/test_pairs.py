@@ -1,6 +1,7 @@
 """SimHash, decontamination and sharding against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -139,6 +140,26 @@ def test_sharding_law(spark):
         sharding.rendezvous("x", [])
 
 
+def slow_shard(key, weights, seed=0):
+    scores = []
+    for i, w in enumerate(weights):
+        h = xxhash.xxh64_intdigest(key.encode(), xxhash.xxh64_intdigest(f"{seed}:{i}".encode(), 42))
+        scores.append(-w / math.log(((h >> 11) + 0.5) / 2**53))
+    return scores.index(max(scores))
+
+
+def test_shards_by_brute_force_and_clashing_columns(spark):
+    df = spark.createDataFrame([(i if i % 9 else None, "c", "a", "s", "n") for i in range(300)], "doc_id long, _cell string, _at string, _start string, _n string")
+    rows = sharding.shard_records(df, "doc_id", [1.0, 2.0, 0.5], grown_weight=1.5).collect()
+    for r in rows:
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (slow_shard(key, [1.0, 2.0, 0.5]), slow_shard(key, [1.0, 2.0, 0.5, 1.5]))
+        assert (r._cell, r._at, r._start, r._n) == ("c", "a", "s", "n")
+    for c in ("shard", "grown_shard", "slot"):
+        with pytest.raises(ValueError, match=c):
+            sharding.shard_records(df.withColumnRenamed("_n", c), "doc_id", [1.0], grown_weight=1.0)
+
+
 def test_queries_on_small_tables(spark):
     import duckdb
 
