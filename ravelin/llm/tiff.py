@@ -1,7 +1,8 @@
 """TIFF: image directories, strips and tiles, PackBits, LZW and deflate, predictors; one row per page.
 
 The reader takes classic TIFF in both byte orders, chunky samples of 8, 16 or 32 bits, compression 1 (none), 5 (LZW), 8 and 32946
-(deflate) and 32773 (PackBits), and predictors 1 and 2. The writer makes 8-bit grey pages of the same kinds.
+(deflate) and 32773 (PackBits), and predictors 1 and 2; all else (BigTIFF, 1 or 4 bits, planes, predictor 3, other codecs) is an error. The writer
+makes 8-bit grey pages of the same kinds.
 """
 
 from __future__ import annotations
@@ -277,21 +278,38 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         yield order, fields
 
 
+#: How many bytes a byte of each compression can stand for at most
+_MOST = {NONE: 1, PACKBITS: 64, DEFLATE: 1040, 32946: 1040, LZW: 4096}
+
+
 def pages(raw: bytes) -> Iterator[Page]:
-    """Every page, with its samples decoded (row by row, in the machine's little-endian order)."""
+    """Every page, with its samples decoded (row by row, in the machine's little-endian order). Whatever is wrong with the bytes is a :class:`TiffError`."""
+    try:
+        yield from _pages(raw)
+    except (ArithmeticError, LookupError, TypeError, ValueError, struct.error, MemoryError) as e:
+        raise e if isinstance(e, TiffError) else TiffError(f"broken fields: {type(e).__name__}: {e}") from None
+
+
+def _pages(raw: bytes) -> Iterator[Page]:
     for number, (order, f) in enumerate(directories(raw)):
         one = lambda tag, default=None, f=f: f[tag][0] if tag in f else default
         width, height, channels, planar = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(PLANAR, 1)
         bits, how, predictor = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
-        if not width or not height:
+        if not all(isinstance(x, int) for x in (width, height, channels, planar, bits, how, predictor)) or min(width, height, channels) <= 0:
             raise TiffError("a page has no size")
+        if len(set(f.get(BITS, (1,)))) != 1:
+            raise TiffError("channels of different bits are not supported")
         if bits not in (8, 16, 32) or predictor not in (1, 2) or planar != 1 and channels > 1:
             raise TiffError(f"{bits} bits, predictor {predictor}, planar {planar} are not supported")
         dtype = np.dtype(f"{order}u{bits // 8}")
         tiled = TILE_OFFSETS in f
         where, sizes = (f[TILE_OFFSETS], f[TILE_BYTES]) if tiled else (f.get(STRIP_OFFSETS, ()), f.get(STRIP_BYTES, ()))
         w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+        if not isinstance(w, int) or not isinstance(h, int) or min(w, h) <= 0:
+            raise TiffError("strips or tiles have no size")
         across = -(-width // w)
+        if max(width * height, w * h) * channels * dtype.itemsize > _MOST.get(how, 4096) * len(raw):
+            raise TiffError("a page is larger than its data can be")
         if len(where) != across * -(-height // h) or len(sizes) != len(where):
             raise TiffError("strips or tiles are missing")
         canvas = np.zeros((height, width, channels), dtype.newbyteorder("<"))

@@ -75,6 +75,40 @@ def test_read_pages_rows(spark):
         tiff.read_pages(spark.createDataFrame([(1, b"")], "width int, media binary"))
 
 
+def fields_of(raw):
+    """The places of a little-endian file's directory entries."""
+    at = struct.unpack_from("<I", raw, 4)[0]
+    return [at + 2 + 12 * i for i in range(struct.unpack_from("<H", raw, at)[0])]
+
+
+@pytest.mark.parametrize("tile", [0, 16])
+def test_broken_fields_are_errors_and_nothing_else(spark, tile):
+    good = tiff.write_page(samples("text", 20, 32), tiff.LZW, 1, 8, tile)
+    broken = []
+    for place in fields_of(good):
+        for shift, size in ((0, "H"), (2, "H"), (4, "I"), (8, "I")):
+            for value in (0, 1, 2, 3, 5, 7, 13, 255, 65535, *((1 << 31, (1 << 32) - 1) if size == "I" else ())):
+                bad = bytearray(good)
+                struct.pack_into("<" + size, bad, place + shift, value)
+                broken.append(bytes(bad))
+    rng = random.Random(17)
+    for _ in range(1500):
+        bad = bytearray(good)
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        broken.append(bytes(bad[: rng.choice([len(bad), rng.randrange(len(bad))])]))
+    faults = 0
+    for raw in broken:
+        try:
+            for p in tiff.pages(raw):
+                assert len(p.samples) == p.width * p.height * p.channels * p.bits // 8
+        except tiff.TiffError:
+            faults += 1
+    assert faults > len(broken) // 2
+    rows = tiff.read_pages(spark.createDataFrame(list(enumerate(broken[:200])), "id long, media binary"))
+    assert rows.where("(samples is null) = (error is null)").count() == 0
+
+
 def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op1_tiff(spark, SF).collect()
