@@ -28,14 +28,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ravelin.scratch import materialize, remove
+
 FORMAT = "ravelin_warc"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, content_length bigint, http_length bigint, payload binary"
 #: Header columns, and the header field each comes from
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 _HEAD = 1 << 16
-#: What is read of a block whose payload is not wanted: enough for usual HTTP headers
+#: What is read at once of a block whose payload is not wanted: enough for usual HTTP headers; longer ones are read to their end
 _SHORT = 1 << 12
+#: A table of repeated digests (some 80 bytes a row) goes to every executor up to so many rows, and is shuffled beyond
+_SENT = 500_000
 
 
 def register(spark: SparkSession) -> None:
@@ -179,20 +183,42 @@ def read_records(stream: Stream, wanted, payloads: bool) -> Iterator[tuple[Head,
         columns = header_columns(head.fields)
         if wanted(columns):
             told = length if payloads else min(length, _SHORT)
-            yield head, columns, stream.need(head.size + told)[head.size : head.size + told]
+            block = stream.need(head.size + told)[head.size : head.size + told]
+            while told < length and not _headers_end(block):
+                told = min(length, 2 * told)
+                block = stream.need(head.size + told)[head.size : head.size + told]
+            yield head, columns, block
         stream.drop(head.size + length)
 
 
+def _headers_end(block: bytes) -> bool:
+    """Whether a block that begins like HTTP has the end of its headers in it."""
+    return not block.startswith(b"HTTP/") or b"\r\n\r\n" in block
+
+
 def _gzip_record(stream: Stream, wanted, payloads: bool):
     at, total = _member_head(stream.need(1 << 12))
     if total:
-        coder = zlib.decompressobj(-15)
-        start = coder.decompress(stream.need(at + min(total, 4096))[at:], 1 << 14)
-        if (head := parse_head(start)) is not None:
+        coder, start, fed, head = zlib.decompressobj(-15), bytearray(), at, None
+
+        def more() -> bool:
+            nonlocal fed
+            part = stream.need(min(total, fed + 4096))[fed : min(total, fed + 4096)]
+            fed += len(part)
+            start.extend(coder.decompress(part))
+            return bool(part)
+
+        while (head := parse_head(bytes(start))) is None and more():
+            pass
+        if head is not None:
             columns = header_columns(head.fields)
-            if not wanted(columns) or not payloads:
-                if wanted(columns):
-                    yield head, columns, start[head.size : head.size + _SHORT]
+            want = wanted(columns)
+            if not want or not payloads:
+                if want:
+                    while not _headers_end(bytes(start[head.size :])) and more():
+                        pass
+                    end = start.find(b"\r\n\r\n", head.size) - head.size + 4
+                    yield head, columns, bytes(start[head.size : head.size + max(_SHORT, end)])
                 stream.drop(total)
                 return
     coder, raw, fed = zlib.decompressobj(-15), bytearray(), at
@@ -213,7 +239,8 @@ def _gzip_record(stream: Stream, wanted, payloads: bool):
     columns = header_columns(head.fields)
     if wanted(columns):
         length = int(head.fields.get("content-length", 0))
-        yield head, columns, bytes(raw[head.size : head.size + (length if payloads else min(length, _SHORT))])
+        end = raw.find(b"\r\n\r\n", head.size) - head.size + 4
+        yield head, columns, bytes(raw[head.size : head.size + (length if payloads else min(length, max(_SHORT, end)))])
 
 
 def split_http(block: bytes) -> tuple[int | None, bytes]:
@@ -364,16 +391,29 @@ class WarcWriter(DataSourceArrowWriter):
 def archive_pages(pages, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write a record for each row: of equal payloads of at least ``least`` bytes the one with the largest id is the response, the others revisit it.
 
-    A null payload is empty; a null url leaves the field out. Rows that repeat the largest id of their payload are all responses. Payloads that
-    occur once are never shuffled: only digests, lengths and ids are, and the few digests that repeat are joined back.
+    A null payload is empty; a null url leaves the field out. Rows that repeat the largest id of their payload are all responses. Which payloads repeat is told by digests,
+    lengths and ids alone. The table of those that do is written down and counted, and sent to the executors as long as it is small, so that no payload is shuffled; a
+    larger one is joined by digest, where Spark splits the payloads of a hot digest. Other columns are not read, and an empty table gives an empty archive.
     """
+    rows, repeated = hashed(pages, page_id, url, html, least)
+    records(rows, repeated, date).write.format(FORMAT).mode("append").save(path)
+    remove(repeated)
+
+
+def hashed(pages, page_id: str, url: str, html: str, least: int):
+    """The pages with their digests and lengths, and a table of the digests that repeat."""
     raw = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("string").alias("id"), F.col(page_id).alias("page"), F.col(url).alias("target_uri"), raw.alias("payload")).withColumn("http_length", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    repeated = rows.where(F.col("http_length") >= least).groupBy("payload_digest", "http_length").agg(F.max("page").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "http_length", "kept")
-    joined = rows.join(repeated, ["payload_digest", "http_length"], "left")
+    repeated = materialize(rows.where(F.col("http_length") >= least).groupBy("payload_digest", "http_length").agg(F.max("page").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "http_length", "kept"), "digests")
+    return rows, repeated
+
+
+def records(rows, repeated, date: str):
+    """The rows of the archive."""
+    joined = rows.join(F.broadcast(repeated) if repeated.count() <= _SENT else repeated, ["payload_digest", "http_length"], "left")
     revisit = F.col("kept").isNotNull() & ~F.col("page").eqNullSafe(F.col("kept"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c, F.lit("")))
-    joined.select(
+    return joined.select(
         urn(F.col("id")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
@@ -382,4 +422,4 @@ def archive_pages(pages, path: str, page_id: str = "page_id", url: str = "url",
         "payload_digest",
         "http_length",
         F.when(~revisit, F.col("payload")).alias("payload"),
-    ).write.format(FORMAT).mode("append").save(path)
+    )

@@ -39,6 +39,16 @@ def test_reading_skips_what_is_not_wanted(form, payloads):
         assert max(len(b) for _, _, b in got) <= 1 << 12
 
 
+@pytest.mark.parametrize("form", ["plain", "sl", "gzip"])
+def test_long_http_headers_are_read_to_their_end(form):
+    noise = "".join(hashlib.sha512(str(i).encode()).hexdigest() for i in range(400)).encode()
+    body = b"HTTP/1.1 200 OK\r\nX-Long: " + noise + b"\r\nContent-Length: 100000\r\n\r\n" + b"x" * 100_000
+    raw = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    coded = {"plain": bytes, "sl": warc.gzip_member, "gzip": gzip.compress}[form](raw)
+    (got,) = warc.read_records(warc.Stream(io.BytesIO(coded), 100), lambda c: True, False)
+    assert warc.split_http(got[2])[0] == 100_000 and len(got[2]) < 110_000
+
+
 def test_broken_member_is_an_error():
     member = bytearray(warc.gzip_member(warc.record("a", "response", None, "d", b"x" * 500, "sha1:", 500)))
     member[-6] ^= 1
@@ -64,6 +74,20 @@ def test_predicates_are_pushed_and_archives_round_trip(spark):
     assert without.count() == 4 and without.where("payload is not null").count() == 0
 
 
+def test_no_payload_is_shuffled(spark, monkeypatch):
+    """Repeated digests are broadcast; beyond the bound they are joined, with the same result."""
+    rows = [(i, "u", "é" * (600 + i % 3)) for i in range(9)] + [(20, "u", "alone " * 300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = []
+    for most in (warc._SENT, 0):
+        monkeypatch.setattr(warc, "_SENT", most)
+        table = warc.records(*warc.hashed(df, "page_id", "url", "html", 1000), "d")
+        if most:
+            assert "hashpartitioning" not in table._jdf.queryExecution().executedPlan().toString()
+        made.append(sorted(map(tuple, table.collect()), key=str))
+    assert made[0] == made[1] and sum(r[1] == "revisit" for r in made[0]) == 6
+
+
 def test_empty_archive(spark):
     warc.register(spark)
     path = new_path(spark, "warc")
