@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.words import ALNUM, LOWER, Words, mix, slices, small_batches
+from ravelin.llm.words import ALNUM, LOWER, Words, freed, mix, slices, small_batches
 from ravelin.scratch import materialize
 
 _GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -213,7 +213,7 @@ def _pass(docs: DataFrame, text: str, shared, first: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(ends, structs), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=schema.names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freed(run), schema)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.words import ALNUM, LOWER, NOT_SPACE, Words, byte_class, slices, small_batches
+from ravelin.llm.words import ALNUM, LOWER, NOT_SPACE, Words, byte_class, freed, slices, small_batches
 from ravelin.scratch import materialize
 
 
@@ -58,7 +58,7 @@ def matrix(rows: DataFrame, of: Callable[[pa.Array], np.ndarray], columns: list[
 
     small_batches(rows.sparkSession)
     schema = T.StructType([rows.schema[c] for c in kept]).add("x", "binary")
-    found = sorted(rows.select(*kept, "text").mapInArrow(run, schema).collect(), key=lambda r: r[0])
+    found = sorted(rows.select(*kept, "text").mapInArrow(freed(run), schema).collect(), key=lambda r: r[0])
     width = of(pa.array([], pa.string())).shape[1]
     return np.frombuffer(b"".join(r[-1] for r in found), "<f4").reshape(len(found), width), [tuple(r)[:-1] for r in found]
 
@@ -101,8 +101,8 @@ class Vocabulary:
         return out
 
 
-def token_counts(rows: DataFrame, label: str, folds: int) -> DataFrame:
-    """``token`` (hash), and in how many texts of a sample it is, by fold and label: ``n`` (array, the label's two counts for each fold). A row's fold is a hash of its id."""
+def token_counts(rows: DataFrame, label: str, folds: int, least: int = 3) -> DataFrame:
+    """``token`` (hash) of those in at least ``least`` texts of a sample, and in how many it is, by fold and label: ``n`` (array, the label's two counts for each fold). A row's fold is a hash of its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,8 +120,9 @@ def token_counts(rows: DataFrame, label: str, folds: int) -> DataFrame:
 
     small_batches(rows.sparkSession)
     cell = (fold_of("id", folds) * 2 + (F.col(label) > 0).cast("int")).cast("int")
-    counted = rows.select(cell.alias("cell"), "text").mapInArrow(run, "token bigint, n array<bigint>")
-    return counted.groupBy("token").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(2 * folds)]).select("token", F.array(*[f"n{i}" for i in range(2 * folds)]).alias("n"))
+    counted = rows.select(cell.alias("cell"), "text").mapInArrow(freed(run), "token bigint, n array<bigint>")
+    sums = counted.groupBy("token").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(2 * folds)])
+    return sums.where(" + ".join(f"n{i}" for i in range(2 * folds)) + f" >= {least}").select("token", F.array(*[f"n{i}" for i in range(2 * folds)]).alias("n"))
 
 
 def fold_of(id_col: str, folds: int) -> Column:

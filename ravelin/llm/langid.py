@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.llm.features import sigmoid
-from ravelin.llm.words import LOWER, NOT_SPACE, Words, mix, slices, small_batches
+from ravelin.llm.words import LOWER, NOT_SPACE, Words, freed, mix, slices, small_batches
 from ravelin.scratch import materialize, remove
 
 WINDOW, EMBED, HIDDEN = 24, 12, 16
@@ -201,7 +201,7 @@ def sampled_windows(rows: DataFrame, lang: str, each: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + doc[kept])), pa.array([padded[w].tobytes() for w in window[kept]], pa.binary()), pa.array(size[window[kept]]), pa.array(count[kept])], names=["lang", "window", "size", "count"])
 
     small_batches(rows.sparkSession)
-    return rows.select(lang, "salt", "text").mapInArrow(run, "lang string, window binary, size bigint, count bigint")
+    return rows.select(lang, "salt", "text").mapInArrow(freed(run), "lang string, window binary, size bigint, count bigint")
 
 
 def fit(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str = "text", most: int = 500, windows: int = 600_000) -> Model:
@@ -250,4 +250,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     letter = "_letter"
     while letter in docs.columns:
         letter = "_" + letter
-    return docs.withColumn(letter, F.coalesce(F.col(text).rlike(LETTER), F.lit(False))).mapInArrow(run, schema)
+    return docs.withColumn(letter, F.coalesce(F.col(text).rlike(LETTER), F.lit(False))).mapInArrow(freed(run), schema)

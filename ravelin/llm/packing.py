@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ravelin.llm.words import slices, small_batches
+from ravelin.llm.words import freed, slices, small_batches
 
 _ENDINGS = b".,;:!?"
 #: Letters and digits that no mark can be
@@ -46,7 +46,7 @@ class Encoder:
     ids are reused; ``most`` bounds how many are kept, the latest ones. Other tokenizers encode each text whole.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000):
+    def __init__(self, tokenizer_json: str, most: int = 150_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.most, self.spaceless = most, drops_space(tokenizer_json)
         words = json.loads(tokenizer_json) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
@@ -96,7 +96,9 @@ class Encoder:
         other chunks case may decide what a mark composes with.)
         """
         if len(self.kept) > self.most:
-            self.aged, self.kept, self.cores = self.kept, {}, {}
+            self.aged, self.kept = self.kept, {}
+        if len(self.cores) > self.most:
+            self.cores = {}
         kept, aged, cores = self.kept, self.aged, self.cores
         split, new = [], set()
         for c in chunks:
@@ -227,7 +229,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     columns = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint, copy bigint" + ", ids array<int>" * ids
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, columns)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(freed(run), columns)
 
 
 _encoders: dict[str, Encoder] = {}

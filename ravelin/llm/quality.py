@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.llm.features import logistic, matrix, predict, sample, sigmoid, style
-from ravelin.llm.words import small_batches
+from ravelin.llm.words import freed, small_batches
 from ravelin.scratch import remove
 
 HIDDEN = 24
@@ -131,4 +131,4 @@ def score(docs: DataFrame, network: Network, text: str = "text", column: str = "
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=schema.names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freed(run), schema)

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.components import connected_components
 from ravelin.llm.simhash import fingerprint, shingle_hashes
-from ravelin.llm.words import LOWER, NOT_SPACE, Words, mix, slices, small_batches
+from ravelin.llm.words import LOWER, NOT_SPACE, Words, freed, mix, slices, small_batches
 from ravelin.scratch import materialize, remove
 
 SHINGLE, BANDS, ROWS, RADIUS, TILE = 5, 36, 5, 26, 1024
 #: The least similarity, in tenths.
 TENTHS = 8
-#: Shingles of one side of a cell (8 MB of hashes), where each set counts as 256 more, so that a side has at most 4096 sets.
-CELL = 1 << 20
+#: Shingles of one side of a cell (2 MB of hashes), where each set counts as 256 more, so that a side has at most 1024 sets.
+CELL = 1 << 18
 #: A table of nodes goes to every executor up to so many rows (16 bytes each), and is shuffled beyond.
 SENT = 2_000_000
 
@@ -80,7 +80,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str = "text", size: int = S
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id bigint, text_hash bigint, node bigint, n bigint, fingerprint bigint, bands array<bigint>")
+    return rows.mapInArrow(freed(run), "id bigint, text_hash bigint, node bigint, n bigint, fingerprint bigint, bands array<bigint>")
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -95,7 +95,7 @@ def sets_of(docs: DataFrame, chosen: DataFrame, text: str = "text", size: int =
 
     small_batches(docs.sparkSession)
     found = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(bounded(chosen), "text_hash").select("node", "text")
-    return found.mapInArrow(run, "node bigint, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return found.mapInArrow(freed(run), "node bigint, hashes array<bigint>").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def bounded(few: DataFrame, most: int = SENT) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.components import connected_components
-from ravelin.llm.words import LOWER, NOT_SPACE, Words, slices, small_batches
+from ravelin.llm.words import LOWER, NOT_SPACE, Words, freed, slices, small_batches
 from ravelin.scratch import materialize
 
 SEED, SHINGLE, RADIUS, BLOCKS, TILE = 42, 3, 2, 5, 1024
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "fingerprint"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, fingerprint bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(freed(run), "id bigint, fingerprint bigint")
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -180,7 +180,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
             yield made(links(*(np.concatenate(x) for x in zip(*kept, strict=True))))
 
     placed = dealt.repartition("group").sortWithinPartitions("group", "side", "fingerprint")
-    return placed.select("group", "fingerprint", "side").mapInArrow(run, "u bigint, v bigint")
+    return placed.select("group", "fingerprint", "side").mapInArrow(freed(run), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.words import slices, small_batches
+from ravelin.llm.words import freed, slices, small_batches
 
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 #: TIFF 6.0 field types: size in bytes and struct code (fixed values)
@@ -364,7 +364,7 @@ def read_pages(df: DataFrame, media: str = "media") -> DataFrame:
             yield lot()
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed(run), schema)
 
 
 WIDTH_OF_TEXT = 64
@@ -392,4 +392,4 @@ def store_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(sizes)) for i in range(len(keep))), pa.array(sizes), pa.array(media, pa.binary())], names=schema.names)
 
     small_batches(df.sparkSession)
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(freed(run), schema)

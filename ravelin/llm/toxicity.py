@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravelin.llm.features import Vocabulary, fold_of, logistic, matrix, predict, sample, standing_out, token_counts
-from ravelin.llm.words import small_batches
+from ravelin.llm.words import freed, small_batches
 from ravelin.scratch import materialize, remove
 
 CHAIN = ("abusive", "repeated", "toxic")
@@ -120,4 +120,4 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_")
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, c]) for c in range(len(names)))], names=schema.names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freed(run), schema)

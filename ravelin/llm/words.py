@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ class Words:
         return out
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> None:
     """Batches that go to Python hold about ``most`` bytes, so that long texts do not fill an executor. A session that has a lower bound keeps it; how many rows a batch may have is left alone."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(key).strip().lower()).groups()
@@ -101,6 +102,20 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a Python worker, which is kept for later tasks, gives back to the system what memory it no longer needs."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return each
+
+
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of whole texts (strings or binary, read in place) of about ``most`` bytes (a longer text is a run of its own): the first row, the bytes, and the offsets in them. Nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
