@@ -7,6 +7,7 @@ with room, which a tournament tree over the sequences' free room finds in logari
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,12 +22,19 @@ from tokenizers import Tokenizer
 from ravelin.llm.words import freed, slices, small_batches
 
 _ENDINGS = b".,;:!?"
+#: The tokenizer's pieces as far as they are ASCII, have no apostrophe and touch none: runs of letters, digits, runs of signs; else all up to white space
+_CHUNK = re.compile(rb"[A-Za-z]++(?![\x80-\xff'])|[0-9](?![\x80-\xff'])|[^A-Za-z0-9\s\x80-\xff']++(?![\x80-\xff'])|\S+")
 #: Letters and digits that no mark can be
 _PLAIN = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: The pieces that white space cannot be part of or join: contractions, runs of letters, single digits, runs of all else but white space
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _chunks(text: bytes) -> list[bytes]:
+    """A text cut where the tokenizer cuts it too. In a text that may hold a special token only white space is sure to be such a place."""
+    return text.split() if b"<|" in text else _CHUNK.findall(text)
+
+
 def drops_space(tokenizer_json: str) -> bool:
     """Whether a tokenizer lower-cases, drops white space and never joins text across it, told by its normalizer and pre-tokenizer; anything that is not known to do so does not."""
     spec = json.loads(tokenizer_json)
@@ -42,7 +50,7 @@ def drops_space(tokenizer_json: str) -> bool:
 class Encoder:
     """Token ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False)``.
 
-    Where the tokenizer drops white space (:func:`drops_space`), white space cuts the text into chunks, each distinct chunk is encoded once, and its
+    Where the tokenizer drops white space (:func:`drops_space`), white space and plain piece ends cut the text into chunks, each distinct chunk is encoded once, and its
     ids are reused; ``most`` bounds how many are kept, the latest ones. Other tokenizers encode each text whole.
     """
 
@@ -51,10 +59,10 @@ class Encoder:
         self.most, self.spaceless = most, drops_space(tokenizer_json)
         words = json.loads(tokenizer_json) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.plain = Tokenizer.from_str(json.dumps(words)) if self.spaceless else self.tokenizer
-        #: ids of chunks as they stand in texts, and of the cores and endings they are made of; the latter halves are the older
+        #: ids of chunks as they stand in texts, of the parts they are made of, and of those that were used less of late
         self.kept: dict[bytes, bytes] = {}
-        self.aged: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.aged: dict[bytes, bytes] = {}
         self.apart: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -71,7 +79,7 @@ class Encoder:
         return self.apart[last]
 
     def _learn(self, cores: list[bytes]) -> None:
-        """Encode cores that were not seen. Runs of letters are encoded in one call, split where words end; those of a to z alone without the steps that change nothing in them."""
+        """Encode parts that were not seen. Runs of letters are encoded in one call, split where words end; those of a to z alone without the steps that change nothing in them."""
         plain, letters, others = [], [], []
         for c in cores:
             (others if not c.decode().isalpha() else plain if c.isascii() and c.islower() else letters).append(c)
@@ -89,45 +97,45 @@ class Encoder:
         for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False), strict=True):
             self.cores[c] = np.array(e.ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """The table of ids, with all of ``chunks`` in it.
+    def _parts(self, c: bytes) -> list[bytes]:
+        """What a chunk's ids are put together from. The case of ASCII chunks changes no ids (in others it may decide what a mark composes with), nor does taking closing punctuation off after a letter or digit."""
+        if b"<|" in c:  # it might be a special token, which is taken as it is written
+            return [c]
+        if c.isascii():
+            c = c.lower()
+            if c.isalpha():
+                return [c]
+        core = c.rstrip(_ENDINGS)
+        if len(core) < len(c) and core and (core[-1] in _PLAIN or core[-1] >= 128 and self._stands_apart(core.decode()[-1])):
+            return [core, c[len(core) :]]
+        return [c]  # the tokenizer takes a run of marks and signs as one piece
 
-        The case of ASCII chunks and, after a letter or digit, a chunk's closing punctuation are taken off first, as neither changes the rest's ids. (In
-        other chunks case may decide what a mark composes with.)
-        """
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """A table of ids that has all of ``chunks`` in it."""
         if len(self.kept) > self.most:
-            self.aged, self.kept = self.kept, {}
+            self.kept = {}
         if len(self.cores) > self.most:
-            self.cores = {}
+            self.aged, self.cores = self.cores, {}
         kept, aged, cores = self.kept, self.aged, self.cores
-        split, new = [], set()
-        for c in chunks:
-            if c in kept:
-                continue
-            if c in aged:
-                kept[c] = aged[c]
-                continue
-            core, tail = c, b""
-            if b"<|" not in c:  # else it might be a special token, which is taken as it is written
-                low = c.lower() if c.isascii() else c
-                core = low.rstrip(_ENDINGS)
-                if len(core) == len(low):
-                    pass
-                elif core and (core[-1] in _PLAIN or core[-1] >= 128 and self._stands_apart(core.decode()[-1])):
-                    tail = low[len(core) :]
-                else:  # the tokenizer takes a run of marks and signs as one piece
-                    core = low
-            if core in cores and (not tail or tail in cores):
-                kept[c] = cores[core] + cores[tail] if tail else cores[core]
-                continue
-            split.append((c, core, tail))
-            new.add(core)
-            if tail:
-                new.add(tail)
+        waiting, new = [], set()
+        for c in [c for c in chunks if c not in kept]:
+            parts = self._parts(c)
+            missing = False
+            for p in parts:
+                if p not in cores:
+                    if p in aged:
+                        cores[p] = aged[p]
+                    else:
+                        new.add(p)
+                        missing = True
+            if missing:
+                waiting.append((c, parts))
+            else:
+                kept[c] = cores[parts[0]] if len(parts) == 1 else b"".join([cores[p] for p in parts])
         if new:
-            self._learn([c for c in new if c not in cores])
-        for c, core, tail in split:
-            kept[c] = cores[core] + cores[tail] if tail else cores[core]
+            self._learn(list(new))
+        for c, parts in waiting:
+            kept[c] = cores[parts[0]] if len(parts) == 1 else b"".join([cores[p] for p in parts])
         return kept
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
@@ -137,7 +145,7 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
             return
-        texts = [raw[a:b].split() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        texts = [_chunks(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         ids = self.learn(set().union(*texts)).__getitem__
         for chunks in texts:
             yield b"".join(map(ids, chunks))
@@ -204,7 +212,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         partition = (task.partitionId() if task else 0) << 32
         for b in batches:
             keys = b.column(0).to_pylist()
-            for at, data, offsets in slices(b.column(1), 2 << 20):
+            for at, data, offsets in slices(b.column(1), 4 << 20):
                 rows, start, length, total, crc, raw, copy = [], [], [], [], [], [], []
                 for i, body in enumerate(encoder.encode(data, offsets), at):
                     body += tail
