@@ -22,20 +22,20 @@ def check_header(line: str | None, kind: str) -> str | None:
 
 
 def _found(rule: str, severity: str, bad: DataFrame) -> DataFrame:
-    """``bad``: one column of examples. Counts combine before the shuffle; five least examples are shown."""
-    few = bad.select(F.col(bad.columns[0]).cast("string").alias("x"))
-    shown = few.distinct().orderBy("x").limit(5).select("x", F.lit(0).cast("long").alias("n"))
-    counted = few.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("x"), "n")
-    both = shown.unionByName(counted).agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list("x")), ", ").alias("examples"))
-    return both.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", "examples")
+    """``bad``: one column of examples. ``n`` counts breaches, ``offenders`` what is different among them; counts combine before the shuffle, and the five least examples are shown."""
+    few = bad.select(F.col(bad.columns[0]).cast("string").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    shown = few.orderBy("x").limit(5).select("x", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("o"))
+    counted = few.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("o")).select(F.lit(None).cast("string").alias("x"), "n", "o")
+    both = shown.unionByName(counted).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("o").alias("offenders"), F.array_join(F.sort_array(F.collect_list("x")), ", ").alias("examples"))
+    return both.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "n", "offenders", "examples")
 
 
 def lists_of(lines: DataFrame) -> DataFrame:
-    """Rows of a text file (column ``value``, without header): ``s1_id, ids``. Blank lines and lines without a tab are left out."""
-    ok = lines.where((F.trim("value") != "") & F.contains("value", F.lit("\t")))
+    """Rows of a text file (column ``value``, without header): ``s1_id, ids``. Lines without a tab are left out; a blank list has no ids, and in others each item counts as it is written, padded and empty ones too."""
+    ok = lines.where(F.contains("value", F.lit("\t")))
     parts = F.split("value", "\t", 2)
-    ids = F.filter(F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return ok.select(F.trim(F.get(parts, F.lit(0))).alias("s1_id"), ids.alias("ids"))
+    rest = F.get(parts, F.lit(1))
+    return ok.select(F.get(parts, F.lit(0)).alias("s1_id"), F.when(rest.rlike(r"\S"), F.split(rest, ",")).otherwise(F.expr("cast(array() as array<string>)")).alias("ids"))
 
 
 def validate_lists(lists: DataFrame, s1: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -69,17 +69,23 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     return _found("no_tab", "error", lines.where((F.trim("value") != "") & ~F.contains("value", F.lit("\t"))).select("value"))
 
 
+def headed(text: DataFrame) -> tuple[list[str], DataFrame]:
+    """The first line of each file of a text table, and the table without these lines."""
+    lines = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    first = lines.where("_block = 0").groupBy("_file").agg(F.min(F.struct("_line", "value")).alias("head")).select("_file", "head._line", F.col("head.value").alias("head"))
+    heads = [r[0] for r in first.select("head").distinct().orderBy("head").limit(100).collect()]
+    return heads, lines.join(F.broadcast(first.select("_file", "_line")), ["_file", "_line"], "left_anti").select("value")
+
+
 def validate_file(spark, path: str, kind: str, s1: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """All rules for a file or a folder of part files."""
+    """All rules for a file or a folder of part files, each of which begins with the header."""
     try:
-        text = spark.read.text(path)
-        heads = text.where(F.lower(F.trim("value")).startswith(HEADERS[kind][0]) | F.lit(False)).limit(1).collect() or text.limit(1).collect()
-        head = heads[0][0] if heads else ""
+        heads, body = headed(spark.read.text(path))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        head = None
-    if fault := check_header(head, kind):
-        return spark.createDataFrame([("header", "error", 1, fault)], "rule string, severity string, n bigint, examples string")
-    body = text.where(F.col("value") != head)
+        heads, body = [None], None
+    for head in heads or [""]:
+        if fault := check_header(head, kind):
+            return spark.createDataFrame([("header", "error", 1, 1, fault)], "rule string, severity string, n bigint, offenders bigint, examples string")
     return validate_lines(body).unionByName(validate_lists(lists_of(body), s1, known))

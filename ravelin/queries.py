@@ -294,7 +294,7 @@ def validate_rules(spark, sf_dir):
 _TFIDF_SQL = """, w as (select country, entity_id id, entity_id like 'S1-%' s1, ' ' || unnest(string_split(name_norm, ' ')) || ' ' t from norm where name_norm <> ''),
 g as (select country, id, s1, case when length(t) <= n then t else t[i : i + n - 1] end gram from w, (select unnest([3, 4, 5]) n) s, unnest(range(1, greatest(length(t) - n + 1, 1) + 1)) r(i)),
 tf as (select country, id, s1, gram, 1 + ln(count(*)) tf from g group by all), tot as (select country, count(*) n from norm group by 1),
-df as (select country, gram, ln((1 + any_value(n)) / (1 + count(*))) + 1 idf from tf join tot using (country) group by country, gram having count(*) <= 2000),
+df as (select country, gram, ln((1 + any_value(n)) / (1 + count(*))) + 1 idf from tf join tot using (country) group by country, gram),
 v as (select country, id, s1, gram, tf * idf w from tf join df using (country, gram)), u as (select *, w / sqrt(sum(w * w) over (partition by id)) x from v),
 c as (select a.country, a.id s1_id, b.id cand_id, round(sum(a.x * b.x), 6) cosine from u a join u b using (country, gram) where a.s1 and not b.s1 group by all)
 select country, s1_id, cand_id, cosine from c where cosine >= 0.25 qualify row_number() over (partition by country, s1_id order by cosine desc, cand_id) <= 15"""

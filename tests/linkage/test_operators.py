@@ -110,6 +110,19 @@ def test_greedy_matching(spark):
     assert [tuple(r) for r in matching.greedy_match(odd).collect()] == [("US", "a", "b", 0.7)]
 
 
+def test_greedy_matching_of_ties_and_chains(spark):
+    frame = lambda rows: spark.createDataFrame([("US", *r) for r in rows], "country string, s1_id string, cand_id string, score double")
+    got = lambda df, **k: sorted((r.s1_id, r.cand_id) for r in matching.greedy_match(df, **k).collect())
+    ties = [(f"s{i:03}", f"c{j:03}", 0.9) for i in range(60) for j in range(400)]
+    assert got(frame(ties)) == slow_match(ties, 8, 0.16)
+    chains = [(f"s{i:03}", f"c{i * 5 + j:04}", 0.7) for i in range(120) for j in range(30)]
+    assert got(frame(chains), rounds=3) == slow_match(chains, 8, 0.16)
+    rng = random.Random(5)
+    mixed = [(f"s{i}", f"c{j}", round(rng.random(), 1)) for i in range(40) for j in range(60) if rng.random() < 0.3]
+    for rounds in (0, 1, 4):
+        assert got(frame(mixed), rounds=rounds, cap=3) == slow_match(mixed, 3, 0.16)
+
+
 @pytest.mark.parametrize("truth, predicted, want", [("", "", 1), ("", "a", 0), ("a", "", 0), ("ac", "abc", 0.7143), ("abc", "a", 0.7143), ("abcd", "a", 0.625), ("a", "b", 0)])
 def test_entity_score(spark, truth, predicted, want):
     links = lambda x: spark.createDataFrame([("s", c) for c in x], "s1_id string, cand_id string")
@@ -155,7 +168,37 @@ def test_file_rules_and_round_trip(spark, tmp_path):
     assert validate.validate_file(spark, str(tmp_path / "none"), "matches", s1).first().examples == "the file is missing"
     a = spark.createDataFrame([("S1-1", ["S2-1", "S2-2"])], "s1_id string, ids array<string>")
     b = spark.createDataFrame([("S1-1", ["S2-1"])], "s1_id string, ids array<string>")
-    assert tuple(validate.validate_subset(a, b).first())[1:] == ("warning", 1, "S1-1 S2-2")
+    r = validate.validate_subset(a, b).first()
+    assert (r.severity, r.n, r.offenders, r.examples) == ("warning", 1, 1, "S1-1 S2-2")
+
+
+def test_padded_and_empty_ids_and_late_headers_are_reported(spark, tmp_path, capsys):
+    from ravelin.plans import validation
+
+    (tmp_path / "test_source1.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\ta\tb\tUS\nS1-2\ta\tb\tUS\n")
+    head = "source1_entity_id\tmatched_entity_ids\n"
+    files = {"good": head + "S1-1\tS2-1,S3-1\nS1-2\t\n", "odd": head + "S1-1\tS2-1,, S2-2\nS1-2\t  \n", "late": "S1-1\tS2-1\n" + head + "S1-2\t\n", "more": head.replace("matched", "candidate") + "S1-1\tS2-1\nS1-2\t\n"}
+    for name, text in files.items():
+        (tmp_path / f"{name}.tsv").write_text(text)
+    run = lambda name, *more: validation.main(["-m", str(tmp_path / f"{name}.tsv"), "-t", str(tmp_path), *more])
+    assert run("good") == 0 and run("odd") == 1 and run("late") == 1 and run("none") == 1
+    told = capsys.readouterr().out
+    assert "bad_prefix: 2: ,  S2-2" in told and "the header is not" in told and "the file is missing" in told
+    assert run("good", "-c", str(tmp_path / "more.tsv")) == 0
+    assert "warning" in capsys.readouterr().out
+
+
+def test_curve_of_one_matching_equals_matchings_at_each_threshold(spark):
+    rng = random.Random(6)
+    rows = [("US", f"s{i}", f"c{j}", round(rng.random(), 2)) for i in range(12) for j in range(30) if rng.random() < 0.3]
+    scored = spark.createDataFrame(rows, "country string, s1_id string, cand_id string, score double")
+    truth = spark.createDataFrame([(s, c) for _, s, c, p in rows if p > 0.6 and s != "s3"], "s1_id string, cand_id string")
+    entities = spark.createDataFrame([(f"s{i}",) for i in range(13)], "s1_id string")
+    taus = [0.2, 0.55, 0.9, 1.5]
+    got = dict(metrics.threshold_curve(scored, truth, entities, taus))
+    for tau in taus:
+        found = matching.greedy_match(matching.above_threshold(scored, {}, tau))
+        assert got[tau] == pytest.approx(metrics.macro_f05(found, truth, entities).first().macro_f05, abs=1e-6)
 
 
 def test_sources(spark, tmp_path):
