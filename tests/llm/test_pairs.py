@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import Row
 
-from ravelin.llm import components, decontam, sharding, simhash
+from ravelin.llm import decontam, sharding, simhash
+from ravelin.operators import components
 
 ODD = ["", None, " \n\t ", "one", "One two", "a b c", "a b c", "Ünï code Straße ÀB", "x" * 5000, "w " * 3000, "a b c d e f g h i j k l", "\x1c a\x85b \x00c"]
 
