@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.operators.keys import CAPS, WEIGHTS, key_table
+from ravelin.scratch import materialize
 
 MAX_CANDIDATES = 180
 
@@ -14,28 +15,34 @@ def _by_channel(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def capped(keys: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
-    """Keys with at most their channel's cap of rows, each record once a key.
+#: A table of keys over their caps goes to every executor up to so many rows (some 60 bytes each), and is joined beyond
+SENT = 500_000
 
-    Rows are counted by key with partial sums, so a key that a third of all records share never meets in one task; its rows go before the join.
+
+def capped(targets: DataFrame, channels: list[str] | None = None, caps: dict[str, int] | None = None) -> DataFrame:
+    """The key table of ``targets`` without keys that more rows have than their channel's cap, each record once a key.
+
+    Rows are counted by key with partial sums. The keys over their caps are written down and counted; while they are few they go to the executors, so that their rows are
+    left out where they are made: a key that a third of all records share never meets in one task.
     """
-    each = keys.groupBy("country", "channel", "key", "entity_id").agg(F.count(F.lit(1)).alias("n"))
-    sums = each.groupBy("country", "channel", "key").agg(F.sum("n").alias("n"))
-    few = sums.where(F.col("n") <= F.try_element_at(_by_channel(caps or CAPS), F.col("channel")))
-    return each.drop("n").join(few.select("country", "channel", "key"), ["country", "channel", "key"])
+    key = ["country", "channel", "key"]
+    sums = key_table(targets, channels).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    over = materialize(sums.where(F.col("n") > F.try_element_at(_by_channel(caps or CAPS), F.col("channel"))).select(*key), "over")
+    return key_table(targets, channels, once=True).join(F.broadcast(over) if over.count() <= SENT else over, key, "left_anti")
 
 
 def hits(s1: DataFrame, targets: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """``country, channel, s1_id, cand_id`` for every key that both sides share; the same pair may come once for each key."""
-    left = key_table(s1, channels).distinct().withColumnRenamed("entity_id", "s1_id")
-    right = capped(key_table(targets, channels)).withColumnRenamed("entity_id", "cand_id")
+    """``country, channel, s1_id, cand_id`` for every key that both sides share; the same pair may come once for each key. A key that very many first records have is split by Spark's skew join."""
+    left = key_table(s1, channels, once=True).withColumnRenamed("entity_id", "s1_id")
+    right = capped(targets, channels).withColumnRenamed("entity_id", "cand_id")
     return left.join(right, ["country", "channel", "key"]).select("country", "channel", "s1_id", "cand_id")
 
 
 def channel_counts(found: DataFrame) -> DataFrame:
-    """One row a pair: the number of one-hit channels, or the highest weight of the others if that is more."""
+    """One row a pair: the number of different one-hit channels, or the highest weight of the others if that is more."""
     weight = F.try_element_at(_by_channel(WEIGHTS), F.col("channel"))
-    both = found.groupBy("country", "s1_id", "cand_id").agg(F.sum(F.when(weight.isNull(), 1).otherwise(0)).alias("singles"), F.max(weight).alias("weight"))
+    bit = F.try_element_at(_by_channel({c: 1 << i for i, c in enumerate(CAPS)}), F.col("channel")).cast("bigint")
+    both = found.groupBy("country", "s1_id", "cand_id").agg(F.coalesce(F.bit_count(F.bit_or(F.when(weight.isNull(), bit))), F.lit(0)).alias("singles"), F.max(weight).alias("weight"))
     return both.select("country", "s1_id", "cand_id", F.greatest("singles", F.coalesce("weight", F.lit(0))).cast("bigint").alias("channel_count"))
 
 

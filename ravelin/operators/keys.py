@@ -172,8 +172,8 @@ def many_keys() -> dict[str, Column]:
     }
 
 
-def key_table(normalized: DataFrame, channels: list[str] | None = None) -> DataFrame:
-    """One row for each key of each record: ``country, channel, key, entity_id``. All channels come from one scan."""
+def key_table(normalized: DataFrame, channels: list[str] | None = None, once: bool = False) -> DataFrame:
+    """One row for each key of each record: ``country, channel, key, entity_id``. All channels come from one scan. ``once``: a key that a record has several times in a channel comes once."""
     wanted = set(CAPS) if channels is None else set(channels)
     if unknown := wanted - set(CAPS):
         raise ValueError(f"no such channels: {sorted(unknown)}")
@@ -182,7 +182,7 @@ def key_table(normalized: DataFrame, channels: list[str] | None = None) -> DataF
     parts = [F.array(*one)] if one else []
     for name, keys in many_keys().items():
         if name in wanted:
-            parts.append(_tagged(name, keys))
+            parts.append(_tagged(name, F.array_distinct(keys) if once else keys))
     exploded = df.select("country", "entity_id", F.explode(F.concat(*parts)).alias("k"))
     return exploded.where(F.col("k.key").isNotNull()).select("country", "k.channel", "k.key", "entity_id")
 

@@ -11,6 +11,7 @@ from ravelin import oracle as O
 from ravelin.functions import similarity as S
 from ravelin.functions.normalize import deconstruct_url, normalize
 from ravelin.operators import blocking, features, keys, matching, metrics, model, validate
+from ravelin.scratch import materialize
 from ravelin.sources import adapters, tables
 
 #: (query, SQL or None)
@@ -30,7 +31,7 @@ def _documents(spark, sf_dir) -> DataFrame:
 
 
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return adapters._split_sources(normalize(adapters.part_records(spark, sf_dir)))
+    return adapters._split_sources(materialize(normalize(adapters.part_records(spark, sf_dir)), "records"))
 
 
 def _pool(spark, sf_dir, channels=None) -> DataFrame:
@@ -99,13 +100,13 @@ def state_code(spark, sf_dir):
 
 @_query(f"{O.base(O.PARTS, O.ALL)} select channel, count(distinct (country, key)) n_keys from few group by channel")
 def key_frequency_cap(spark, sf_dir):
-    few = blocking.capped(keys.key_table(_parts(spark, sf_dir)[1]))
+    few = blocking.capped(_parts(spark, sf_dir)[1])
     return few.select("channel", "country", "key").distinct().groupBy("channel").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
 @_query(f"{O.base(O.DOCUMENTS, ['1', '23'])} select distinct country, channel, s1_id, cand_id from hits")
 def block_exact_name(spark, sf_dir):
-    s1, targets = adapters._split_sources(_documents(spark, sf_dir))
+    s1, targets = adapters._split_sources(materialize(_documents(spark, sf_dir), "records"))
     return blocking.hits(s1, targets, ["1", "23"]).distinct()
 
 
@@ -114,7 +115,7 @@ _SINGLES = [c.name for c in keys.SINGLE]
 
 @_query(f"{O.base(O.DOCUMENTS, _SINGLES)} select country, s1_id, cand_id, channel_count from counted")
 def block_tier1(spark, sf_dir):
-    s1, targets = adapters._split_sources(_documents(spark, sf_dir))
+    s1, targets = adapters._split_sources(materialize(_documents(spark, sf_dir), "records"))
     return blocking.channel_counts(blocking.hits(s1, targets, _SINGLES))
 
 

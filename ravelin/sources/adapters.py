@@ -37,7 +37,7 @@ def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     town = pick(size, "Springfield", "Mumbai", "Lyon", "Austin", "Bangalore")
     state = pick(size, "TX", "MH", "Rhone", "TX", "Karnataka")
     address = F.concat(size.cast("string"), F.lit(" "), brand, F.lit(" St, Near "), F.lower("p_type"), F.lit(" depot, "), town, F.lit(", "), state, F.lit(" "), (size * 137 + 410000).cast("string"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select(
         F.concat(F.lit("S"), (F.col("p_partkey") % 3 + 1).cast("string"), F.lit("-"), key).alias("entity_id"),
         F.concat("p_name", F.lit(" "), F.lower("p_type"), pick(F.col("p_partkey"), " Ltd", " Inc.", "", " Enterprises")).alias("business_name"),
         F.when(F.col("p_partkey") % 11 == 0, F.lit("N/A")).otherwise(address).alias("business_address"),
