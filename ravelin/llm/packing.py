@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from ravelin.llm.words import freed, slices, small_batches
 
@@ -54,11 +55,13 @@ class Encoder:
     ids are reused; ``most`` bounds how many are kept, the latest ones. Other tokenizers encode each text whole.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 150_000):
+    def __init__(self, tokenizer_json: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.most, self.spaceless = most, drops_space(tokenizer_json)
-        words = json.loads(tokenizer_json) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
-        self.plain = Tokenizer.from_str(json.dumps(words)) if self.spaceless else self.tokenizer
+        self.plain = self.tokenizer
+        if self.spaceless:
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = WhitespaceSplit()
         #: ids of chunks as they stand in texts, of the parts they are made of, and of those that were used less of late
         self.kept: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
