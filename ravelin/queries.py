@@ -212,6 +212,19 @@ def sim_token_ratios(spark, sf_dir):
     return _pairs(spark, sf_dir).select("s1_id", "cand_id", *[F.round(f(a, b), 6).alias(n) for f, n in ((S.token_sort_ratio, "sort_ratio"), (S.token_set_ratio, "set_ratio"), (S.lcs_ratio, "lcs_ratio"))])
 
 
+_PRODUCTS = ["name_last_tok", "translit_first_tok", "name_token_diff", "name_addr_prod", "name_addr_sum", "name_postal_prod", "name_jw_x_addr_missing", "min_name_sim", "addr_sim_harmonic", "source_is_s3", "tfidf_score", "tfidf_rank", "blocking_channel_count"]
+
+
+@_query(f"""{O.base(O.PARTS, O.ALL)} {O.FREQUENCY}, x as (select *, {O.jw('an', 'bn')} jw, {O.jw('aa', 'ba')} aw, {O.jaccard(O.words('aa'), O.words('ba'))} aj, {O.jaccard(O.words('an'), O.words('bn'))} nj, string_split(an, ' ') ta, string_split(bn, ' ') tb from f)
+select s1_id, cand_id, (an <> '' and ta[-1] = tb[-1])::int::double name_last_tok, (ab <> '' and split_part(ab, ' ', 1) = split_part(bb, ' ', 1))::int::double translit_first_tok,
+abs(len(list_filter(ta, lambda w: w <> '')) - len(list_filter(tb, lambda w: w <> '')))::double name_token_diff, round(jw * aj, 6) name_addr_prod, round((jw + aw) / 2, 6) name_addr_sum,
+round(case when ap <> '' and ap = bp then jw else 0.0 end, 6) name_postal_prod, round(case when ba = '' then jw else 0.0 end, 6) name_jw_x_addr_missing, round(least(jw, nj), 6) min_name_sim,
+round(2 * aw * aj / (aw + aj + 1e-6), 6) addr_sim_harmonic, (cand_id like 'S3%')::int::double source_is_s3, 0.0::double tfidf_score, 99.0::double tfidf_rank, channel_count::double blocking_channel_count from x""")
+def pair_products(spark, sf_dir):
+    """Features made of other features, and the flags that no other query has."""
+    return pair_features(spark, sf_dir).select("s1_id", "cand_id", *[F.round(n, 6).alias(n) for n in _PRODUCTS])
+
+
 @_query()
 def pair_features(spark, sf_dir):
     """All 56 features of the scored candidates."""
@@ -266,7 +279,7 @@ def parse_gt(spark, sf_dir):
     return metrics.parse_truth(c.select(F.concat(F.lit(" S1-"), F.col("c_custkey").cast("string")).alias("source1_entity_id"), text.alias("matched_entity_ids")))
 
 
-@_query()
+@_query(f"with {O.PARTS} select entity_id, country, row_number() over (partition by country order by left(md5('42:' || entity_id), 15), entity_id) <= least(floor(count(*) over (partition by country) * 0.15::double), 25000) is_validation from rec where entity_id like 'S1-%'")
 def stratified_split(spark, sf_dir):
     return metrics.stratified_split(_parts(spark, sf_dir)[0]).select("entity_id", "country", "is_validation")
 

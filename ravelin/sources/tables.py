@@ -38,15 +38,33 @@ def export_candidates(pool: DataFrame, matches: DataFrame, s1: DataFrame) -> Dat
     return export_lists(both, s1, "candidate_entity_ids")
 
 
+def _state(spark: SparkSession, path: str) -> str | None:
+    """Names, sizes and times of the files of ``path``, as a hash; None if there are none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f for found in fs.globStatus(place) or [] for f in (fs.listStatus(found.getPath()) if found.isDirectory() else [found])]
+    told = sorted(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join(told).encode()).hexdigest() if told else None
+
+
 def load_source(spark: SparkSession, tsv: str, cache: str | None = None, version: str = "1") -> DataFrame:
-    """Normalized records of a file. With ``cache``, they are kept there by country, under a name made of the path and ``version``, and read from there next time."""
+    """Normalized records of a file. With ``cache``, they are kept there by country, under a name made of the path and ``version``, and read from there
+    until the file's size or time is another. Of a file that is gone, what was kept is read."""
     if cache is None:
         return normalize(read_tsv(spark, tsv))
     place = f"{cache.rstrip('/')}/{hashlib.sha256(f'{tsv}\n{version}'.encode()).hexdigest()[:16]}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(place + "/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    made_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place + "/_made_of")
+    fs = made_of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept, state = None, _state(spark, tsv)
+    if fs.exists(made_of):
+        told = fs.open(made_of)
+        kept = told.readUTF()
+        told.close()
+    if kept is None or state not in (None, kept):
         normalize(read_tsv(spark, tsv)).withColumn("country_part", F.col("country")).write.mode("overwrite").partitionBy("country_part").parquet(place)
+        told = fs.create(made_of, True)
+        told.writeUTF(state or "")
+        told.close()
     return spark.read.parquet(place).drop("country_part")
 
 

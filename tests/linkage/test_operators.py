@@ -16,7 +16,7 @@ from ravelin.sources import tables
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("name", ["normalize_names", "state_code", "block_exact_name", "candidates_topk", "sim_jaro_winkler", "match_mutual_best", "parse_gt", "validate_rules", "export_lists"])
+@pytest.mark.parametrize("name", ["normalize_names", "state_code", "block_exact_name", "candidates_topk", "sim_jaro_winkler", "match_mutual_best", "parse_gt", "validate_rules", "export_lists", "stratified_split", "pair_products"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "part", "customer", "supplier", "region", "pages"):
@@ -213,6 +213,36 @@ def test_sources(spark, tmp_path):
     assert sorted(map(tuple, metrics.parse_truth(truth).collect())) == [("S1-1", "S2-1"), ("S1-1", "S3-2")]
 
 
+def test_cached_sources_follow_their_files(spark, tmp_path):
+    f, head = tmp_path / "test_source1.tsv", "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    load = lambda: sorted(r.name_norm for r in tables.load_source(spark, str(f), str(tmp_path / "cache")).collect())
+    f.write_text(head + "S1-1\tOne\tx\tUS\n")
+    assert load() == load() == ["one"]
+    f.write_text(head + "S1-1\tOne\tx\tUS\nS1-2\tTwo\tx\tIndia\n")
+    assert load() == ["one", "two"]
+
+
+def test_all_steps_of_the_linkage(spark, tmp_path):
+    from ravelin.plans import linkage, validation
+
+    names = [f"{a}{b} {c}" for a in ("brook", "stone", "lark") for b in ("mere", "field", "wick", "ton") for c in ("bakery", "motors", "books", "dental", "paints")]
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    row = lambda i, k, name: f"S{k}-{i}\t{name}\t{i + 10} {name.split()[0]} Street, Austin, TX {78000 + i}\tUS\n"
+    for kind in ("train", "test"):
+        for k, shape in ((1, "{} Inc"), (2, "{}"), (3, "The {} Ltd")):
+            (tmp_path / f"{kind}_source{k}.tsv").write_text(head + "".join(row(i, k, shape.format(n)) for i, n in enumerate(names)))
+    (tmp_path / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\t['S2-{i}', 'S3-{i}']\n" for i in range(len(names))))
+    out = str(tmp_path / "out")
+    linkage.run(spark, str(tmp_path), out, trees=3, depth=2)
+    report = spark.read.parquet(f"{out}/validation").collect()
+    assert report and sum(r.n for r in report if r.severity == "error") == 0
+    found = {r.s1_id: set(r["ids"]) for r in validate.lists_of(spark.read.text(f"{out}/matching_results.tsv")).collect()}
+    assert found.pop("source1_entity_id") == {"matched_entity_ids"}
+    assert len(found) == len(names) and sum(found[f"S1-{i}"] == {f"S2-{i}", f"S3-{i}"} for i in range(len(names))) > 50
+    assert spark.read.parquet(f"{out}/recall").count() > 0
+    assert validation.main(["-m", f"{out}/matching_results.tsv", "-c", f"{out}/candidate_pairs.tsv", "-t", str(tmp_path)]) == 0
+
+
 def test_normalizing_a_stream(spark, tmp_path):
     spark.createDataFrame([("S1-1", "Foo Ltd", "1 A St, B", "US")], RECORD).write.parquet(str(tmp_path / "in"))
     stream = normalize(spark.readStream.schema(RECORD).parquet(str(tmp_path / "in")))
