@@ -7,10 +7,9 @@ with room, which a tournament tree over the sequences' free room finds in logari
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +19,55 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from ravelin.llm.words import freed, slices, small_batches
+from ravelin.llm.words import LOWER, freed, slices, small_batches
 
 _ENDINGS = b".,;:!?"
-#: The tokenizer's pieces as far as they are ASCII, have no apostrophe and touch none: runs of letters, digits, runs of signs; else all up to white space
-_CHUNK = re.compile(rb"[A-Za-z]++(?![\x80-\xff'])|[0-9](?![\x80-\xff'])|[^A-Za-z0-9\s\x80-\xff']++(?![\x80-\xff'])|\S+")
+#: Kinds of bytes: 0 white space, 1 letters, 2 digits, 3 signs, 4 what is not ASCII and the apostrophe
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*b" \t\n\r\f\v"]], _KIND[[*b"0123456789"]], _KIND[39], _KIND[128:] = 0, 2, 4, 4
+_KIND[65:91] = _KIND[97:123] = 1
 #: Letters and digits that no mark can be
 _PLAIN = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: The pieces that white space cannot be part of or join: contractions, runs of letters, single digits, runs of all else but white space
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _chunks(text: bytes) -> list[bytes]:
-    """A text cut where the tokenizer cuts it too. In a text that may hold a special token only white space is sure to be such a place."""
-    return text.split() if b"<|" in text else _CHUNK.findall(text)
+def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Texts cut where the tokenizer cuts them too, in lower case where that changes no ids: the number of each chunk, the distinct chunks, and each text's first chunk (at last how many there are).
+
+    What stands between white space is one chunk if it has anything but ASCII or an apostrophe, or is of a text that may hold a special token; else runs of letters, digits, and runs of signs are.
+    """
+    n, kind = len(data), _KIND[data]
+    texts = lambda at: np.unique(np.searchsorted(offsets, np.flatnonzero(at), "right") - 1)
+    special = texts((data[:-1] == 60) & (data[1:] == 124))  # "<|", which is taken as it is written
+    text = LOWER[data]
+    for i in {*special.tolist(), *texts((data == 0xCC) | (data == 0xCD)).tolist()}:  # U+0300 to U+037F: ASCII letters compose with no other marks, which case might decide
+        text[offsets[i] : offsets[i + 1]] = data[offsets[i] : offsets[i + 1]]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    full = kind > 0
+    first = full.copy()
+    first[1:] &= ~full[:-1] | edge[1:n]
+    starts = np.flatnonzero(first)
+    odd = kind == 4
+    for i in special.tolist():
+        odd[offsets[i] : offsets[i + 1]] = True
+    whole = np.zeros(len(starts), bool)
+    whole[np.searchsorted(starts, np.flatnonzero(odd & full), "right") - 1] = True
+    cut = first.copy()
+    cut[1:] |= full[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    cut = np.flatnonzero(cut)
+    cut = cut[first[cut] | ~whole[np.searchsorted(starts, cut, "right") - 1]]
+    before = np.zeros(n + 1, np.int32)
+    np.cumsum(full, out=before[1:])
+    ends = np.append(before[cut], before[n])
+    coded = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text[full])]).dictionary_encode()
+    distinct = []
+    if len(cut):
+        _, at, raw = coded.dictionary.buffers()
+        at, raw = np.frombuffer(at, np.int32, len(coded.dictionary) + 1).tolist(), raw.to_pybytes()
+        distinct = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]  # to_pylist() is some times slower
+    return coded.indices.to_numpy(), distinct, np.searchsorted(cut, offsets)
 
 
 def drops_space(tokenizer_json: str) -> bool:
@@ -52,7 +86,7 @@ class Encoder:
     """Token ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False)``.
 
     Where the tokenizer drops white space (:func:`drops_space`), white space and plain piece ends cut the text into chunks, each distinct chunk is encoded once, and its
-    ids are reused; ``most`` bounds how many are kept, the latest ones. Other tokenizers encode each text whole.
+    ids are reused; ``most`` bounds how many are kept, the latest ones, and as many that were used before them. Other tokenizers encode each text whole.
     """
 
     def __init__(self, tokenizer_json: str, most: int = 250_000):
@@ -62,9 +96,8 @@ class Encoder:
         if self.spaceless:
             self.plain = Tokenizer(self.tokenizer.model)
             self.plain.pre_tokenizer = WhitespaceSplit()
-        #: ids of chunks as they stand in texts, of the parts they are made of, and of those that were used less of late
+        #: ids of chunks and of the parts they are made of, and of those that were used less of late
         self.kept: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
         self.aged: dict[bytes, bytes] = {}
         self.apart: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -81,24 +114,23 @@ class Encoder:
             self.apart[last] = self.tokenizer.pre_tokenizer is not None and self.tokenizer.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "."
         return self.apart[last]
 
-    def _learn(self, cores: list[bytes]) -> None:
-        """Encode parts that were not seen. Runs of letters are encoded in one call, split where words end; those of a to z alone without the steps that change nothing in them."""
-        plain, letters, others = [], [], []
-        for c in cores:
-            (others if not c.decode().isalpha() else plain if c.isascii() and c.islower() else letters).append(c)
+    def _learn(self, plain: list[bytes], rest: list[bytes]) -> None:
+        """Encode parts that were not seen, ``plain`` ones being a to z alone. Runs of letters are encoded in one call, split where words end; plain ones without the steps that change nothing in them."""
+        letters, others = [], []
+        for c in rest:
+            (letters if c.decode().isalpha() else others).append(c)
         for some, tokenizer in ((plain, self.plain), (letters, self.tokenizer)):
             if not some:
                 continue
             ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1 if self.closes.size and ids.size and ids.max() < self.closes.size else ids[:0]
             if len(ends) == len(some) and ends[-1] == len(ids):
-                raw = ids.tobytes()
-                for c, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    self.cores[c] = raw[4 * a : 4 * b]
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.kept.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
             else:
                 others += some
         for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False), strict=True):
-            self.cores[c] = np.array(e.ids, "<u4").tobytes()
+            self.kept[c] = np.array(e.ids, "<u4").tobytes()
 
     def _parts(self, c: bytes) -> list[bytes]:
         """What a chunk's ids are put together from. The case of ASCII chunks changes no ids (in others it may decide what a mark composes with), nor does taking closing punctuation off after a letter or digit."""
@@ -113,45 +145,58 @@ class Encoder:
             return [core, c[len(core) :]]
         return [c]  # the tokenizer takes a run of marks and signs as one piece
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """A table of ids that has all of ``chunks`` in it."""
+    def learn(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids of ``chunks``, which are distinct."""
+        chunks = list(chunks)
+        return dict(zip(chunks, self._ids(chunks), strict=True))
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
         if len(self.kept) > self.most:
-            self.kept = {}
-        if len(self.cores) > self.most:
-            self.aged, self.cores = self.cores, {}
-        kept, aged, cores = self.kept, self.aged, self.cores
-        waiting, new = [], set()
-        for c in [c for c in chunks if c not in kept]:
+            self.aged, self.kept = self.kept, {}
+        kept, aged = self.kept, self.aged
+        out = list(map(kept.get, chunks))
+        unknown = [i for i, x in enumerate(out) if x is None]
+        missing = []
+        for i in unknown:
+            c = chunks[i]
+            if c in aged:
+                kept[c] = aged[c]
+            else:
+                missing.append(c)
+        plain = {c for c in missing if c.isalpha() and c.islower()}
+        waiting, rest = [], set()
+        for c in (c for c in missing if c not in plain):
             parts = self._parts(c)
-            missing = False
+            waiting.append((c, parts))
             for p in parts:
-                if p not in cores:
-                    if p in aged:
-                        cores[p] = aged[p]
-                    else:
-                        new.add(p)
-                        missing = True
-            if missing:
-                waiting.append((c, parts))
-            else:
-                kept[c] = cores[parts[0]] if len(parts) == 1 else b"".join([cores[p] for p in parts])
-        if new:
-            self._learn(list(new))
+                if p in aged:
+                    kept[p] = aged[p]
+                elif p not in kept:
+                    (plain if p.isalpha() and p.islower() else rest).add(p)
+        self._learn(list(plain), list(rest))
         for c, parts in waiting:
-            kept[c] = cores[parts[0]] if len(parts) == 1 else b"".join([cores[p] for p in parts])
-        return kept
+            kept[c] = kept[parts[0]] if len(parts) == 1 else b"".join([kept[p] for p in parts])
+        for i in unknown:
+            out[i] = kept[chunks[i]]
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        raw, cuts = data.tobytes(), offsets.tolist()
         if not self.spaceless:
+            raw, cuts = data.tobytes(), offsets.tolist()
             for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
             return
-        texts = [_chunks(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        ids = self.learn(set().union(*texts)).__getitem__
-        for chunks in texts:
-            yield b"".join(map(ids, chunks))
+        number, distinct, first = _chunks(data, offsets)
+        ids = self._ids(distinct)
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(count) - count
+        times = count[number]
+        ends = np.append(0, np.cumsum(times))
+        out = flat[np.repeat(start[number] - ends[:-1], times) + np.arange(ends[-1])].tobytes()
+        ends = (4 * ends[first]).tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield out[a:b]
 
 
 class Tournament:

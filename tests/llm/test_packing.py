@@ -101,6 +101,19 @@ def test_ids_equal_the_tokenizers_on_odd_texts(name):
             assert np.frombuffer(g, "<u4").tolist() == e.ids, t
 
 
+def test_case_variants_share_one_entry_and_chunks_are_looked_up_once_a_slice():
+    texts = [b"", b"Word WORD word. word", b"", "Élan 42 J\u030c J".encode(), b"  \n", b"a<|b Word"]
+    encoder, tokenizer = packing.Encoder(Tokenizer.from_file(PATH).to_str()), Tokenizer.from_file(PATH)
+    arrays = lambda some: (np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+    list(encoder.encode(*arrays(texts[:3])))
+    assert encoder.kept.keys() == {b"word", b"."} and not encoder.aged
+    for some in (texts, texts[:1], [texts[4]] * 2):
+        got = list(encoder.encode(*arrays(some)))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in some]
+    number, distinct, first = packing._chunks(*arrays(texts))
+    assert distinct[:2] == [b"word", b"."] and number[:5].tolist() == [0, 0, 0, 1, 0] and first.tolist()[:3] == [0, 0, 5]
+
+
 def test_a_tokenizer_that_keeps_case_or_space_is_encoded_whole():
     spec = json.loads(open(PATH, encoding="utf-8").read())
     assert packing.drops_space(json.dumps(spec))
